@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanquarry.llm import sharding, token_counts
+from spanquarry.llm import licenses, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_50k.json", 1024)
 
@@ -20,8 +24,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_token_counts, op7_sharding)}
+    return {f.__name__: f for f in (op1_license_scan, op5_token_counts, op7_sharding)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op1_license_scan": licenses.scan_sql()}
