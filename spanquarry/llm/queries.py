@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanquarry.llm import licenses, sharding, token_counts
+from spanquarry.llm import fingerprints, licenses, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_50k.json", 1024)
 
@@ -24,7 +28,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op5_token_counts, op7_sharding)}
+    return {f.__name__: f for f in (op1_license_scan, op3_fingerprints, op5_token_counts, op7_sharding)}
 
 
 def oracle_sql() -> dict:
