@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanquarry.llm import fingerprints, licenses, sharding, token_counts
+from spanquarry.llm import fingerprints, language_id, licenses, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +27,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), "doc_id", "text", 16)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op3_fingerprints, op5_token_counts, op7_sharding)}
+    return {f.__name__: f for f in (op1_license_scan, op3_fingerprints, op5_token_counts, op7_sharding, op10_language_id)}
 
 
 def oracle_sql() -> dict:
