@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanquarry.llm import fingerprints, language_id, licenses, sharding, token_counts
+from spanquarry.llm import fingerprints, language_id, licenses, near_dedup, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked, _ = near_dedup.link(_table(spark, sf_dir, "documents"), "doc_id", "text", width=3, percent=85)
+    return linked.drop("digest")
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -32,7 +37,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op3_fingerprints, op5_token_counts, op7_sharding, op10_language_id)}
+    return {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_fingerprints, op5_token_counts, op7_sharding, op10_language_id)}
 
 
 def oracle_sql() -> dict:
