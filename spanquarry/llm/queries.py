@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanquarry.llm import fingerprints, language_id, licenses, near_dedup, sharding, token_counts
+from spanquarry.llm import decontaminate, fingerprints, language_id, licenses, near_dedup, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _table(spark, sf_dir, "benchmark")
+    return decontaminate.contained(_table(spark, sf_dir, "documents"), "doc_id", "text", items, "item_id", "text")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_50k.json", 1024)
 
@@ -37,8 +42,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_fingerprints, op5_token_counts, op7_sharding, op10_language_id)}
+    return {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_fingerprints, op4_decontamination, op5_token_counts, op7_sharding, op10_language_id)}
 
 
 def oracle_sql() -> dict:
-    return {"op1_license_scan": licenses.scan_sql()}
+    return {"op1_license_scan": licenses.scan_sql(), "op4_decontamination": decontaminate.contained_sql()}
