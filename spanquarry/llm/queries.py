@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanquarry.llm import decontaminate, fingerprints, language_id, licenses, near_dedup, sharding, token_counts
+from spanquarry.llm import decontaminate, fingerprints, language_id, licenses, mixing, near_dedup, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,13 +37,17 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), "doc_id", "text", 16)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_fingerprints, op4_decontamination, op5_token_counts, op7_sharding, op10_language_id)}
+    return {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_fingerprints, op4_decontamination, op5_token_counts, op7_sharding, op9_mixing, op10_language_id)}
 
 
 def oracle_sql() -> dict:
-    return {"op1_license_scan": licenses.scan_sql(), "op4_decontamination": decontaminate.contained_sql()}
+    return {"op1_license_scan": licenses.scan_sql(), "op4_decontamination": decontaminate.contained_sql(), "op9_mixing": mixing.mix_sql()}
