@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanquarry.llm import decontaminate, fingerprints, language_id, licenses, mixing, near_dedup, sharding, token_counts
+from spanquarry.llm import decontaminate, fingerprints, language_id, licenses, lm_score, mixing, near_dedup, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_50k.json", 1024)
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), "doc_id", "text", 16)
 
@@ -46,7 +50,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_fingerprints, op4_decontamination, op5_token_counts, op7_sharding, op9_mixing, op10_language_id)}
+    return {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_fingerprints, op4_decontamination, op5_token_counts, op6_lm_score, op7_sharding, op9_mixing, op10_language_id)}
 
 
 def oracle_sql() -> dict:
