@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanquarry.llm import decontaminate, fingerprints, language_id, licenses, lm_score, mixing, near_dedup, sharding, token_counts
+from spanquarry.llm import decontaminate, fingerprints, language_id, licenses, lm_score, mixing, near_dedup, sharding, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), "doc_id", "text", 16)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), "doc_id", "text", "source")
 
@@ -50,7 +54,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_fingerprints, op4_decontamination, op5_token_counts, op6_lm_score, op7_sharding, op9_mixing, op10_language_id)}
+    return {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_fingerprints, op4_decontamination, op5_token_counts, op6_lm_score, op7_sharding, op8_substring_dedup, op9_mixing, op10_language_id)}
 
 
 def oracle_sql() -> dict:
