@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanquarry.llm.storage import Scratch
 from spanquarry.llm.textarrays import Words, mix, slices
@@ -80,8 +81,9 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def sign(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null if empty) and bands of every row."""
+def sign(docs: DataFrame, id_col: str, text_col: str, width: int, carry: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, digest (of the set; null if empty), bands and the column ``carry`` of every row."""
+    more = [carry] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,12 +96,16 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                 for k, r in enumerate(full):
                     lists[r] = keys[k]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "digest", "bands"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(lists, pa.list_(pa.int64())),
+                     *(batch.column(2 + c).slice(lo, hi - lo) for c in range(len(more)))],
+                    names=["doc_id", "n_shingles", "digest", "bands", *more],
                 )
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *more)
+    schema = T.StructType().add("doc_id", T.LongType()).add("n_shingles", T.LongType()).add("digest", T.BinaryType()).add("bands", T.ArrayType(T.LongType()))
+    for c in more:
+        schema = schema.add(docs.schema[c])
+    return rows.mapInArrow(run, schema)
 
 
 def _sets_of(docs: DataFrame, width: int) -> DataFrame:
@@ -226,3 +232,28 @@ def link(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percent: i
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     out = joined.select("doc_id", "n_shingles", component.alias("component_id"), "digest")
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "digest"), scratch
+
+
+def keep_one(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, columns as they are, that stand for their component.
+
+    That is the row of the smallest id; of several rows with that id, or of a component without ids, one row
+    of the smallest digest stays. Rows without words are no one's copies and all stay.
+    """
+    linked, _ = link(docs, id_col, text_col, width, percent)
+    has_set = F.col("digest").isNotNull()
+    best = linked.filter(has_set & F.col("kept")).groupBy("doc_id", "component_id").agg(F.min("digest").alias("digest"), F.count(F.lit(1)).alias("rows"))
+    told = Scratch(docs.sparkSession, "keep-one").save(best.select("doc_id", "digest", "rows"), "kept")
+    again = not told.filter("rows > 1 OR doc_id IS NULL").isEmpty()
+    text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = rows.select("row", F.col(f"row.`{id_col}`").cast("bigint").alias("i"), (F.size(F.array_remove(F.split(text, "[\\x09-\\x0D\\x20]+"), "")) == 0).alias("blank"))
+    blank = rows.filter("blank").select("row.*")
+    if not again:
+        ids = told.select(F.col("doc_id").alias("i"))
+        return rows.filter(~F.col("blank")).join(ids, "i", "left_semi").select("row.*").unionByName(blank)
+    # rows that share an id: tell them apart by their sets
+    full = sign(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("i"), F.col(text_col).alias("t")), "i", "t", width, carry="row")
+    chosen = full.join(told.withColumnRenamed("digest", "d"), full.doc_id.eqNullSafe(told.doc_id) & (full.digest == F.col("d")), "left_semi")
+    first = chosen.groupBy("doc_id", "digest").agg(F.first("row").alias("row"))
+    return first.select("row.*").unionByName(blank)

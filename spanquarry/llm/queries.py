@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from spanquarry.llm import decontaminate, fingerprints, language_id, licenses, lm_score, mixing, near_dedup, sharding, substring_dedup, token_counts
@@ -54,7 +55,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_fingerprints, op4_decontamination, op5_token_counts, op6_lm_score, op7_sharding, op8_substring_dedup, op9_mixing, op10_language_id)}
+    found = {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_fingerprints, op4_decontamination, op5_token_counts, op6_lm_score, op7_sharding, op8_substring_dedup, op9_mixing, op10_language_id)}
+    found["pipeline"] = corpus_pipeline.run
+    return found
 
 
 def oracle_sql() -> dict:
