@@ -103,24 +103,35 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _distinct(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The first row of each (key, check) of a batch, and the number of its copies."""
+    both = np.stack([batch.column(c).to_numpy() for c in (0, 1)], axis=1)
+    _, first, n = np.unique(both, axis=0, return_index=True, return_counts=True)
+    order = np.argsort(first)
+    return batch.take(pa.array(first[order])), n[order].astype(np.int64)
+
+
 def _anchors(texts: DataFrame, depth: int, gram: int) -> DataFrame:
-    """(anchor, n) over the texts (t), summed within tasks."""
+    """(anchor, n) over (key, check, t), summed within tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, times, size = [], [], 0
 
         def out() -> pa.RecordBatch:
-            kinds, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([_signed(kinds), pa.array(n.astype(np.int64))], names=["anchor", "n"])
+            kinds, which = np.unique(np.concatenate(held), return_inverse=True)
+            n = np.bincount(which, np.concatenate(times), len(kinds)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([_signed(kinds), pa.array(n)], names=["anchor", "n"])
 
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
-                found = runs(data, offsets, depth, gram)["anchor"]
-                held.append(found)
-                size += len(found)
+            batch, copies = _distinct(batch)
+            for lo, _, data, offsets in slices(batch.column(2)):
+                found = runs(data, offsets, depth, gram)
+                held.append(found["anchor"])
+                times.append(copies[lo + found["row"]])
+                size += len(found["anchor"])
                 if size > FLUSH:
                     yield out()
-                    held, size = [], 0
+                    held, times, size = [], [], 0
         if size:
             yield out()
 
@@ -128,19 +139,20 @@ def _anchors(texts: DataFrame, depth: int, gram: int) -> DataFrame:
 
 
 def _runs(texts: DataFrame, depth: int, gram: int) -> DataFrame:
-    """(key, check, start, length, off, anchor, body) over (key, check, t)."""
+    """(key, check, start, length, off, anchor, body, n) over (key, check, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch, copies = _distinct(batch)
             key, check = (batch.column(c).to_numpy() for c in (0, 1))
             for lo, _, data, offsets in slices(batch.column(2)):
                 r = runs(data, offsets, depth, gram)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[lo + r["row"]]), pa.array(check[lo + r["row"]]), pa.array(r["start"].astype(np.int32)), pa.array(r["length"].astype(np.int32)), pa.array(r["off"].astype(np.int32)), _signed(r["anchor"]), _signed(r["body"])],
-                    names=["key", "check", "start", "length", "off", "anchor", "body"],
+                    [pa.array(key[lo + r["row"]]), pa.array(check[lo + r["row"]]), pa.array(r["start"].astype(np.int32)), pa.array(r["length"].astype(np.int32)), pa.array(r["off"].astype(np.int32)), _signed(r["anchor"]), _signed(r["body"]), pa.array(copies[lo + r["row"]])],
+                    names=["key", "check", "start", "length", "off", "anchor", "body", "n"],
                 )
 
-    return texts.mapInArrow(run, "key bigint, check bigint, start int, length int, off int, anchor bigint, body bigint")
+    return texts.mapInArrow(run, "key bigint, check bigint, start int, length int, off int, anchor bigint, body bigint, n bigint")
 
 
 def _opened(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,10 +252,11 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, depth: int = DEP
     keyed = rows.select("doc_id", F.xxhash64("t").alias("key"), F.crc32(F.col("t").cast("binary")).alias("check"), "t")
     enough = keyed.filter(F.octet_length("t") >= depth)
     # first digit
-    repeated = scratch.save(_anchors(enough.select("t"), depth, gram).filter("n > 1").select("anchor"), "anchors")
+    repeated = scratch.save(_anchors(enough.select("key", "check", "t"), depth, gram).filter("n > 1").select("anchor"), "anchors")
     # second digit; copies of a text are counted here and merged
     every = _runs(enough.select("key", "check", "t"), depth, gram).join(repeated, "anchor")
-    kinds = scratch.save(every.groupBy("anchor", "body", "key", "check", "start", "length", "off").agg(F.count(F.lit(1)).alias("n")), "runs")
+    every = every.repartition("anchor", "body", "key")  # of its own, so that the join above may split a hot anchor
+    kinds = scratch.save(every.groupBy("anchor", "body", "key", "check", "start", "length", "off").agg(F.sum("n").alias("n")), "runs")
     whole, stands = _settle(kinds, ["anchor"], scratch, "run")
     wanted = kinds.select("key", "check").distinct()
     texts = keyed.groupBy("key", "check").agg(F.first("t").alias("t")).join(wanted, ["key", "check"], "left_semi")
