@@ -11,8 +11,8 @@
 3. Candidates are confirmed on their full shingle sets, and the links' components are found by repeated
    contraction of the graph.
 4. A bucket whose classes are still in several components may hide links that no star has tried. Its
-   classes outside the centre's component are compared with all of it in blocks of bounded size, each pair
-   in the first band that it shares, again on full sets. What that finds is added and components are
+   classes outside its largest component are compared with all of it in blocks of bounded size, each pair in
+   the first band that it shares, again on full sets (the centre's pairs are known already). What that finds is added and components are
    found once more. So no candidate of the bands is lost, whatever a bucket's size.
 
 Nothing that grows with the documents comes to the driver. Tables between the steps are written to the
@@ -156,7 +156,7 @@ def _fits(n: str, m: str, percent: int):
 def _in_blocks(open_members: DataFrame, percent: int, block: int) -> DataFrame:
     """Links (a, b) between components within buckets, on full sets, a block of members against a block.
 
-    ``open_members``: key, rep, n, comp, outer (outside the centre's component), m (bucket size), bands, hashes.
+    ``open_members``: key, rep, n, comp, outer (outside the bucket's largest component), m (bucket size), bands, hashes.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -211,15 +211,15 @@ def link(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percent: i
     wanted = members.select("rep").distinct()
     source = docs.select(F.col(id_col).cast("bigint").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     texts = source.join(wanted, source.i == wanted.rep, "left_semi").select(F.col("i").alias("rep"), "t")
-    sets = scratch.save(_sets_of(texts, width).distinct(), "sets")
+    sets = scratch.save(_sets_of(texts, width), "sets")
     links = scratch.save(_confirmed(star, sets, percent), "links")
     labels = components(links, scratch)
-    # buckets that are not of one component yet
-    known = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", "rep", "n", "m", F.coalesce("label", "rep").alias("comp"))
-    several = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    main = centre.join(several, "key", "left_semi").select("key", F.col("centre").alias("rep"))
-    main = main.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", F.coalesce("label", "rep").alias("main"))
-    rest = known.join(main, "key").withColumn("outer", F.col("comp") != F.col("main"))
+    # the centre has met all of its bucket; do the others of a bucket belong to several components yet?
+    others = members.join(centre.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti")
+    known = others.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", "rep", "n", "m", F.coalesce("label", "rep").alias("comp"))
+    parts = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    several = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    rest = known.join(several.select("key", F.col("most.comp").alias("main")), "key").withColumn("outer", F.col("comp") != F.col("main"))
     rest = rest.join(classes.select("rep", "bands"), "rep").join(sets, "rep").select("key", "rep", "n", "m", "comp", "outer", "bands", "hashes")
     more = scratch.save(_in_blocks(rest, percent, block), "more")
     if not more.isEmpty():
