@@ -208,7 +208,7 @@ def link(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percent: i
     centre = scratch.save(centre.select("key", (-F.col("c.r")).alias("centre"), F.col("c.n").alias("cn")), "centres")
     star = members.join(centre, "key").filter((F.col("rep") != F.col("centre")) & _fits("n", "cn", percent))
     star = scratch.save(star.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct(), "star")
-    wanted = members.select("rep").distinct()
+    wanted = members.select("rep").distinct().hint("merge")  # it grows with the documents, so at no size is it shipped
     source = docs.select(F.col(id_col).cast("bigint").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     texts = source.join(wanted, source.i == wanted.rep, "left_semi").select(F.col("i").alias("rep"), "t")
     sets = scratch.save(_sets_of(texts, width), "sets")
@@ -250,7 +250,7 @@ def keep_one(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percen
     rows = rows.select("row", F.col(f"row.`{id_col}`").cast("bigint").alias("i"), (F.size(F.array_remove(F.split(text, "[\\x09-\\x0D\\x20]+"), "")) == 0).alias("blank"))
     blank = rows.filter("blank").select("row.*")
     if not again:
-        ids = told.select(F.col("doc_id").alias("i"))
+        ids = told.select(F.col("doc_id").alias("i")).hint("merge")
         return rows.filter(~F.col("blank")).join(ids, "i", "left_semi").select("row.*").unionByName(blank)
     # rows that share an id: tell them apart by their sets
     full = sign(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("i"), F.col(text_col).alias("t")), "i", "t", width, carry="row")
