@@ -137,7 +137,12 @@ def train(texts: list[bytes], labels: np.ndarray, count: int, seed: int = 7) ->
         for c in cuts if len(cuts) <= PARTS_PER_DOC else [cuts[int(i)] for i in np.linspace(0, len(cuts) - 1, PARTS_PER_DOC)]:
             parts[labels[k]].append((c, min(c + PART_WORDS, hi)))
     every = [(label, part) for label, own in enumerate(parts) for part in own]
-    number, offsets = features(words.data, words.start, words.end, words.hash)
+    # features of the chosen stretches alone, which from here on are ranges of the chosen words
+    chosen = np.concatenate([np.arange(*part) for _, part in every]) if every else np.empty(0, dtype=np.int64)
+    ends = np.cumsum([b - a for _, (a, b) in every])
+    every = [(label, (int(end) - (b - a), int(end))) for (label, (a, b)), end in zip(every, ends, strict=True)]
+    number, offsets = features(words.data, words.start[chosen], words.end[chosen], words.hash[chosen])
+    del words
     weights, begin, step = np.zeros((DIMENSIONS, count)), np.zeros(count), np.zeros((count, count))
     squares = [np.full(x.shape, 1e-2) for x in (weights, begin, step)]
     for _ in range(EPOCHS):
@@ -234,12 +239,15 @@ def annotate(docs: DataFrame, text_col: str, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lettered = np.asarray(batch.column(2).to_pylist(), dtype=bool)
-            langs, score = predict(batch.column(1), lettered, shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                lettered = np.asarray(part.column(1).to_pylist(), dtype=bool)
+                langs, score = predict(part.column(0).field(place), lettered, shared.value)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
 
+    place = docs.columns.index(text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.alias("text"), text.rlike(r"\p{L}").alias("lettered")).mapInArrow(run, kinds)
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.rlike(r"\p{L}").alias("lettered")).mapInArrow(run, kinds)
 
 
 def identify(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
