@@ -125,7 +125,7 @@ def expand_runs(runs: DataFrame) -> DataFrame:
     """(doc_id, sa_row, bwt) back from run lengths."""
     w = Window.partitionBy("doc_id").orderBy("run_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = runs.withColumn("base", F.coalesce(F.sum("length").over(w), F.lit(0)))
-    return placed.select("doc_id", (F.col("base") + F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1))).alias("sa_row"), F.col("symbol").alias("bwt"))
+    return placed.select("doc_id", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("length") - 1)).alias("sa_row"), F.col("symbol").alias("bwt"))
 
 
 def run_checkpoints(table: DataFrame, step: int) -> DataFrame:
@@ -155,9 +155,9 @@ def chunk_lookup(offsets: DataFrame, chunks: DataFrame, width: int) -> DataFrame
 def sampled_locate(table: DataFrame, wanted: DataFrame, step: int) -> DataFrame:
     """(doc_id, sa_row, off, steps): offsets of ``wanted`` rows found from every ``step``-th row, as an index
     that stores only those would: the distance back to the nearest sampled row along the text."""
-    sampled = table.filter(F.col("sa_row") % step == 0).select("doc_id", F.col("off").alias("at"))
-    prior = F.last("at", True).over(Window.partitionBy("doc_id").orderBy("off").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    marked = table.join(sampled, (table.doc_id == sampled.doc_id) & (table.off == sampled["at"]), "left").select(table.doc_id, "sa_row", "off", "at").withColumn("base", prior)
+    at = F.when(F.col("sa_row") % step == 0, F.col("off"))
+    prior = F.last(at, True).over(Window.partitionBy("doc_id").orderBy("off").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    marked = table.select("doc_id", "sa_row", "off", prior.alias("base"))
     return marked.join(wanted, ["doc_id", "sa_row"], "left_semi").select("doc_id", "sa_row", "off", F.when(F.col("base").isNotNull(), F.col("off") - F.col("base")).otherwise(F.col("off")).alias("steps"))
 
 

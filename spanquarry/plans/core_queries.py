@@ -323,7 +323,7 @@ def p10_locate_summary(spark, d):
     return M.summary(M.locate(T.documents(spark, d), T.patterns(spark, d)))
 
 
-@query(SFX + ", m AS (SELECT doc_id, off AS at FROM sfx WHERE sa_row % 8 = 0) SELECT sfx.doc_id, sa_row, off, off - coalesce((SELECT max(at) FROM m WHERE m.doc_id = sfx.doc_id AND at <= off), 0) AS steps FROM sfx")
+@query(SFX + ", m AS (SELECT doc_id, sa_row, off, max(CASE WHEN sa_row % 8 = 0 THEN off END) OVER (PARTITION BY doc_id ORDER BY off) AS base FROM sfx) SELECT doc_id, sa_row, off, off - coalesce(base, 0) AS steps FROM m")
 def p11_sampled_locate(spark, d):
     table = X.suffixes(T.items(spark, d))
     return X.sampled_locate(table, table.select("doc_id", "sa_row"), 8)
