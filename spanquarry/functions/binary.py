@@ -76,19 +76,25 @@ def hex_status(pattern: Column) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: named inside a lambda it would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def shares(content: Column) -> Column:
+    """The share of each byte value that occurs, in order of value; for short contents."""
+    n = F.length(content).cast("double")
+    return let(byte_array(content), lambda bs: F.transform(F.array_sort(F.array_distinct(bs)), lambda k: F.size(F.filter(bs, lambda b: b == k)) / n))
+
+
 def entropy(content: Column) -> Column:
     """Bits of Shannon entropy per byte; 0 for no bytes."""
-    bytes_, n = byte_array(content), F.length(content).cast("double")
-    kinds = F.array_sort(F.array_distinct(bytes_))
-    shares = F.transform(kinds, lambda k: F.size(F.filter(bytes_, lambda b: b == k)) / n)
-    return F.when(n > 0, F.abs(F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p)))).otherwise(0.0)
+    return F.abs(F.aggregate(shares(content), F.lit(0.0), lambda a, p: a - p * F.log2(p)))
 
 
 def simpson(content: Column) -> Column:
     """The sum of squared byte shares; 0 for no bytes."""
-    bytes_, n = byte_array(content), F.length(content).cast("double")
-    kinds = F.array_sort(F.array_distinct(bytes_))
-    return F.when(n > 0, F.aggregate(kinds, F.lit(0.0), lambda a, k: a + F.pow(F.size(F.filter(bytes_, lambda b: b == k)) / n, 2))).otherwise(0.0)
+    return F.aggregate(shares(content), F.lit(0.0), lambda a, p: a + p * p)
 
 
 def display_path(path: Column) -> Column:
