@@ -170,7 +170,7 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
             joint[a] -= r
             joint[:, a] -= left
             joint[a, a] -= own
-            rows, columns = joint.sum(1), joint.sum(0)
+            rows, columns = joint.sum(1) + left, joint.sum(0) + r  # as they are wherever the word goes
             gain = (_xlogx(joint + r) - _xlogx(joint)).sum(1) + (_xlogx(joint + left[:, None]) - _xlogx(joint)).sum(0)
             diagonal = joint.diagonal()
             gain += _xlogx(diagonal + r + left + own) + _xlogx(diagonal) - _xlogx(diagonal + r) - _xlogx(diagonal + left)

@@ -18,7 +18,7 @@ source with a third of all rows is spread over many tasks.
 
 Defined cases: a null source is the source of the empty name, a null text has no tokens; documents without
 tokens and sources without tokens appear in whole passes only; equal hashes are ordered by id, nulls first;
-rows that repeat an id and size appear one after the other; other columns of any name are ignored; an empty
+rows that repeat an id and size have one place, so the last pass takes all or none of them; other columns of any name are ignored; an empty
 table gives an empty result.
 """
 
@@ -117,8 +117,10 @@ def _placed(slim: DataFrame, sources: DataFrame) -> DataFrame:
     sums = rows.groupBy("source", "turn", "bucket").agg(F.sum("n_tokens").alias("bt"))
     along = Window.partitionBy("source", "turn").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.select("source", "turn", "bucket", (F.sum("bt").over(along) - F.col("bt")).alias("base"))
-    within = Window.partitionBy("source", "turn", "bucket").orderBy("u", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("inner", F.sum("n_tokens").over(within) - F.col("n_tokens"))
+    # equal rows have one place: both sums run over all of them
+    within = Window.partitionBy("source", "turn", "bucket").orderBy("u", "doc_id", "n_tokens").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    equal = Window.partitionBy("source", "turn", "bucket", "u", "doc_id", "n_tokens")
+    rows = rows.withColumn("inner", F.sum("n_tokens").over(within) - F.sum("n_tokens").over(equal))
     return rows.join(sums, ["source", "turn", "bucket"]).withColumn("before", F.col("base") + F.col("inner"))
 
 

@@ -177,20 +177,20 @@ def _each(table: DataFrame, schema: str, names: list[str], of) -> DataFrame:
     return table.mapInArrow(run, f"key bigint, check bigint, {schema}")
 
 
-def _blocks(table: DataFrame, depth: int) -> DataFrame:
-    """Blocks of the runs: anchor, j (number of the block, from the anchor), core, start, length, off, body, n."""
+def _blocks(table: DataFrame, depth: int, block: int) -> DataFrame:
+    """Blocks of ``block`` windows of the runs: anchor, j (number of the block, from the anchor), core, start, length, off, body, n."""
 
     def of(data: np.ndarray, r: dict) -> list[pa.Array]:
         hashes = Hashes(data)
         start, length, off = (r[c].astype(np.int64) for c in ("start", "length", "off"))
         # offsets of a run's windows from the anchor go from off down to off - length + 1
-        high, low = off // BLOCK, (off - length + 1) // BLOCK
+        high, low = off // block, (off - length + 1) // block
         j, which = _opened(low, high - low + 1)
         pos = (start + off)[which]
-        first = pos - np.minimum(j * BLOCK + BLOCK - 1, off[which])
-        last = pos - np.maximum(j * BLOCK, (off - length + 1)[which])
+        first = pos - np.minimum(j * block + block - 1, off[which])
+        last = pos - np.maximum(j * block, (off - length + 1)[which])
         own = pos - first
-        core = hashes.of(pos - j * BLOCK, pos - j * BLOCK - BLOCK + 1 + depth)
+        core = hashes.of(pos - j * block, pos - j * block - block + 1 + depth)
         body = mix(hashes.of(first, last + depth) ^ (own.astype(np.uint64) << U(32)) ^ (last - first).astype(np.uint64))
         return [pa.array(r["anchor"][which]), pa.array(j.astype(np.int32)), _signed(core), pa.array(first.astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array(own.astype(np.int32)), _signed(body), pa.array(r["n"][which])]
 
@@ -267,7 +267,7 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, depth: int = DEP
         return texts.join(ranges, ["key", "check"]).select("key", "check", "t", "ranges")
 
     # third digit
-    blocks = scratch.save(_blocks(with_text(stands, "start", "length", "off", "anchor", "n"), depth), "blocks")
+    blocks = scratch.save(_blocks(with_text(stands, "start", "length", "off", "anchor", "n"), depth, min(BLOCK, depth - gram + 1)), "blocks")
     whole_blocks, left = _settle(blocks, ["anchor", "j", "core"], scratch, "block")
     # last digit
     windows = scratch.save(_windows(with_text(left, "start", "length", "anchor", "n"), depth), "windows")
