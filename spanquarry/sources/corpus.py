@@ -27,16 +27,22 @@ def from_directory(spark: SparkSession, root: str) -> DataFrame:
     """
     if root.startswith("/") and os.path.islink(root):
         raise ValueError("ROOT_IS_SYMLINK")
+    blank: list[bytes] = []  # the file source skips files without bytes
     if os.path.isdir(root):
-        for folder, dirs, files in os.walk(root):
+        for folder, dirs, files in os.walk(os.fsencode(root)):
             for name in dirs + files:
-                mode = os.lstat(os.path.join(folder, name)).st_mode
-                if not (stat.S_ISREG(mode) or stat.S_ISDIR(mode)):
-                    raise ValueError(f"NOT_A_REGULAR_FILE: {name}")
+                found = os.lstat(os.path.join(folder, name))
+                if not (stat.S_ISREG(found.st_mode) or stat.S_ISDIR(found.st_mode)):
+                    raise ValueError(f"NOT_A_REGULAR_FILE: {os.fsdecode(name)}")
+                if stat.S_ISREG(found.st_mode) and not found.st_size:
+                    blank.append(os.path.relpath(os.path.join(folder, name), os.fsencode(root)))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/") + "/"
     relative = utf8(F.substring_index(F.col("path"), base, -1))
-    rows = files.select(relative.alias("path"), F.col("length").alias("byte_length"), "content").filter(safe_path(F.col("path")))
+    rows = files.select(relative.alias("path"), F.col("length").alias("byte_length"), "content")
+    if blank:
+        rows = rows.unionByName(spark.createDataFrame([(bytearray(p), 0, bytearray(b"")) for p in blank], rows.schema))
+    rows = rows.filter(safe_path(F.col("path")))
     ids = rows.select("path").withColumn("doc_id", (F.row_number().over(Window.orderBy("path")) - 1).cast("bigint"))
     return rows.join(ids, "path").select("doc_id", "path", "content", "byte_length")
 
