@@ -39,7 +39,8 @@ def anchor_hits(anchors_: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, start, doc_id, doc_offset, chunk) of every occurrence of every anchor."""
     named = anchors_.withColumn("key", F.struct("query_id", "start"))
     found = match.locate(corpus, named.select(F.col("key").alias("query_id"), F.col("fragment").alias("pattern")))
-    return found.select("query_id.query_id", "query_id.start", "doc_id", "doc_offset", chunk_id(F.col("doc_id"), F.col("doc_offset")).alias("chunk"))
+    found = found.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.start").alias("start"), "doc_id", "doc_offset")
+    return found.select("query_id", "start", "doc_id", "doc_offset", chunk_id(F.col("doc_id"), F.col("doc_offset")).alias("chunk"))
 
 
 def picked(anchors_: DataFrame, hits: DataFrame, pick: int = PICK) -> DataFrame:

@@ -7,10 +7,15 @@ only if it contains it at all.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spanquarry.functions.binary import byte_at, count_disjoint, count_overlapping, hex_status, latin1, part, positions
+from spanquarry.functions.binary import byte_at, count_disjoint, count_overlapping, hex_status, latin1, part
 
 MOST_SHIPPED = 100_000
 
@@ -40,10 +45,40 @@ def count(corpus: DataFrame, patterns: DataFrame, overlapping: bool = True) -> D
     return patterns.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("match_count", F.lit(0)).alias("match_count"))
 
 
+def _find(data: bytes, pattern: bytes, most: int | None = None) -> list[int]:
+    out, at = [], data.find(pattern)
+    while at >= 0 and (most is None or len(out) < most):
+        out.append(at)
+        at = data.find(pattern, at + 1)
+    return out
+
+
+def _located(pairs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, doc_offset) of pairs (query_id, doc_id, pattern, content[, most]).
+
+    The pairs are found inside the JVM; their offsets in Arrow batches, because a byte search there runs at the
+    speed of memory, while an expression over every offset of a document costs some hundred times as much.
+    """
+    bounded_ = "most" in pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part_ = batch.slice(at, 256)
+                limits = part_.column(4).to_pylist() if bounded_ else [None] * part_.num_rows
+                found = [_find(c, p, m) for p, c, m in zip(part_.column(2).to_pylist(), part_.column(3).to_pylist(), limits, strict=True)]
+                row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                offsets = pa.array([o for f in found for o in f], pa.int64())
+                yield pa.RecordBatch.from_arrays([part_.column(0).take(row), part_.column(1).take(row), offsets], names=["query_id", "doc_id", "doc_offset"])
+
+    columns = ["query_id", "doc_id", "pattern", "content", *(["most"] if bounded_ else [])]
+    schema = T.StructType([pairs.schema["query_id"], pairs.schema["doc_id"], T.StructField("doc_offset", T.LongType())])
+    return pairs.select(*columns).mapInArrow(run, schema)
+
+
 def locate(corpus: DataFrame, patterns: DataFrame) -> DataFrame:
     """(query_id, doc_id, doc_offset) of every occurrence."""
-    found = _pairs(corpus, patterns).select("query_id", "doc_id", F.explode(positions(F.col("content"), F.col("pattern"))).alias("o"))
-    return found.select("query_id", "doc_id", F.col("o").cast("bigint").alias("doc_offset"))
+    return _located(_pairs(corpus, patterns))
 
 
 def bounded(occurrences: DataFrame, most: int, order: list[str] | None = None) -> DataFrame:
@@ -62,8 +97,7 @@ def locate_bounded(corpus: DataFrame, patterns: DataFrame, most: int) -> DataFra
     plan = returned(count_by_document(corpus, patterns), most).filter("returned_count > 0")
     small = plan.select("query_id", "doc_id", "returned_count").join(patterns, "query_id")
     opened = corpus.select("doc_id", "content").join(small, "doc_id")
-    first = F.slice(positions(F.col("content"), F.col("pattern")), F.lit(1), F.col("returned_count").cast("int"))
-    return opened.select("query_id", "doc_id", F.explode(first).alias("o")).select("query_id", "doc_id", F.col("o").cast("bigint").alias("doc_offset"))
+    return _located(opened.withColumn("most", F.col("returned_count")))
 
 
 def returned(counts: DataFrame, most: int) -> DataFrame:

@@ -395,7 +395,7 @@ def v11_evidence_context(spark, d):
     return found.select("query_id", "doc_id", "doc_offset", F.lower(F.hex(F.encode("context", "ISO-8859-1"))).alias("context_hex"))
 
 
-@query(Q_SQL := T.LOCATE + "SELECT query_id, doc_id, doc_offset, lower(hex(encode(p))) AS observed_hex FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id, doc_offset) AS r FROM occ) JOIN pat USING (query_id) WHERE r <= 10")
+@query(T.LOCATE + "SELECT query_id, doc_id, doc_offset, lower(hex(encode(p))) AS observed_hex FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id, doc_offset) AS r FROM occ) JOIN pat USING (query_id) WHERE r <= 10")
 def v12_bounded_evidence(spark, d):
     docs, pats = T.documents(spark, d), T.patterns(spark, d)
     return V.evidence(docs, pats, M.locate_bounded(docs, pats, 10)).select("query_id", "doc_id", "doc_offset", "observed_hex")
@@ -447,3 +447,12 @@ def w4_bounded_locate(spark, d):
 def w7_collection_info(spark, d):
     c = Collection.from_table(T.table(spark, d, "documents"), "doc_id", "text")
     return c.corpus.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("byte_length"), F.lit(0)).alias("bytes"))
+
+
+@query("WITH p AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{bytes.fromhex(h).decode()}')" for i, h in enumerate(HEXES[:5])) + ") v(query_id, p)), d AS (SELECT doc_id, text FROM documents), " + T.OCC.replace("JOIN pat", "JOIN p AS pat") + " SELECT query_id, count(*) AS checked, 0::BIGINT AS failed FROM occ GROUP BY ALL")
+def v14_offset_replay(spark, d):
+    """Located offsets are read back from the corpus and compared."""
+    c = Collection.from_table(T.table(spark, d, "documents"), "doc_id", "text")
+    pats = c.patterns(HEXES).filter("status = 'OK'").select("query_id", "pattern")
+    rows = M.byte_checked(c.corpus, pats, M.locate(c.corpus, pats))
+    return rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("checked"), F.count(F.when(~F.col("byte_check"), 1)).alias("failed"))

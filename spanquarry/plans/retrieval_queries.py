@@ -410,3 +410,22 @@ def j8_median_deviation(spark, d):
 def j9_repeat_distances(spark, d):
     pages = corpus.from_table(T.table(spark, d, "pages"), "page_id", "html")
     return J.repeat_distances(S.grams(pages, 16, 8, ("doc_id",), "content")).withColumn("sig", F.lower(F.hex("sig")))
+
+
+@query(f"WITH {BOTH} SELECT 'dense' AS kind, chunk, sig, cnt, df FROM dense UNION ALL SELECT 'rare', chunk, sig, cnt, df FROM rare")
+def s17_shortlist_export(spark, d):
+    """Both indexes as one table of postings, laid out by signature for lookups."""
+    c = chunks(spark, d)
+    both = S.dense(c).withColumn("kind", F.lit("dense")).unionByName(S.rare(c).withColumn("kind", F.lit("rare")))
+    return both.select("kind", "chunk", F.lower(F.hex("sig")).alias("sig"), "cnt", "df").repartition("sig")
+
+
+@query(ANCHOR + ", r AS (SELECT DISTINCT query_id, chunk FROM hit) SELECT query_id, chunk FROM r")
+def a10_raw_candidates(spark, d):
+    """Without picking the rarest: all chunks of all anchors, as the earlier retrievers return them."""
+    return _hits(spark, d)[1].select("query_id", "chunk").distinct()
+
+
+@query(FHIT + "SELECT query_id, frag, count(*) AS match_count, min(doc_offset) AS first_offset, max(doc_offset) AS last_offset FROM fh GROUP BY ALL")
+def w5_range_summaries(spark, d):
+    return fragment_hits(spark, d).groupBy("query_id", "frag").agg(F.count(F.lit(1)).alias("match_count"), F.min("doc_offset").alias("first_offset"), F.max("doc_offset").alias("last_offset"))
