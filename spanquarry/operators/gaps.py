@@ -94,7 +94,7 @@ def chains(hits: DataFrame, fragments: int, greedy: bool = False, distance: int
     then smaller error, then smaller deviation. ``skips`` are the best chain's pairs of fragments further apart
     that also keep their distance within the tolerance of as many gaps."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         lists = [sorted(rows.loc[rows.frag == f, "doc_offset"]) for f in range(fragments)]
         found = [c for c in (_greedy if greedy else _chains)(lists, distance, tolerance) if len(c) >= least]
         if not found:

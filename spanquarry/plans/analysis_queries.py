@@ -73,7 +73,7 @@ def r6_phrase_span_rerank(spark, d):
 
 @query()
 def r7_block_rerank(spark, d):
-    return R.by_blocks(_candidates(spark, d).filter("rank <= 4"), Q.chunks(spark, d), Q._queries(spark, d))
+    return R.by_blocks(_candidates(spark, d), Q.chunks(spark, d), Q._queries(spark, d))
 
 
 @query("WITH x AS (SELECT o_custkey, o_orderkey AS a, o_orderkey + 500 AS b FROM orders), i AS (SELECT o_custkey, a, b, max(b) OVER (PARTITION BY o_custkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM x) SELECT o_custkey, sum(greatest(0, b - greatest(a, coalesce(r, a))))::BIGINT AS covered FROM i GROUP BY ALL")
