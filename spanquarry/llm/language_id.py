@@ -33,7 +33,7 @@ DIMENSIONS = 1 << 18
 GRAMS = (2, 3, 4)
 DOCS_PER_LABEL = 250
 MOST_LABELS = 64
-MOST_CHARS = 200_000
+MOST_CHARS = 50_000
 PARTS_PER_DOC = 8
 PART_WORDS = 12
 SEQUENCE_PARTS = 4
