@@ -257,3 +257,18 @@ def keep_one(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percen
     chosen = full.join(told.withColumnRenamed("digest", "d"), full.doc_id.eqNullSafe(told.doc_id) & (full.digest == F.col("d")), "left_semi")
     first = chosen.groupBy("doc_id", "digest").agg(F.first("row").alias("row"))
     return first.select("row.*").unionByName(blank)
+
+
+def link_sql(width: int = 3, percent: int = 85) -> str:
+    """DuckDB SQL that joins all documents on all shingles and spreads the smallest id along the links."""
+    low = "translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE cut AS (SELECT doc_id, regexp_extract_all({low}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+{width - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w)-{width - 1}, 1)+1)) AS i FROM cut WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100*c >= {percent}*(x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, lab) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.lab FROM r JOIN e ON r.node = e.a WHERE r.lab < e.b),
+c AS (SELECT node, min(lab) AS c FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.c AS component_id, d.doc_id = c.c AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.node = d.doc_id"""

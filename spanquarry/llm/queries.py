@@ -61,4 +61,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_license_scan": licenses.scan_sql(), "op4_decontamination": decontaminate.contained_sql(), "op9_mixing": mixing.mix_sql()}
+    return {"op1_license_scan": licenses.scan_sql(), "op2_near_dedup": near_dedup.link_sql(), "op4_decontamination": decontaminate.contained_sql(), "op8_substring_dedup": substring_dedup.remove_repeats_sql(), "op9_mixing": mixing.mix_sql()}

@@ -279,3 +279,17 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, depth: int = DEP
     joined = plain.join(cuts, ["key", "check"], "left")
     zero = F.lit(0).cast("bigint")
     return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "full").alias("kept_sha256"))
+
+
+def remove_repeats_sql(depth: int = DEPTH) -> str:
+    """DuckDB SQL that counts every window of every document and joins touching ones to runs."""
+    return f"""
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text,'')))) AS hx, strlen(coalesce(text,''))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, pos, md5(substr(hx, 2*pos+1, {2 * depth})) AS h FROM (SELECT doc_id, hx, unnest(range(0, n-{depth - 1})) AS pos FROM d)),
+m AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+r AS (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS prior FROM w SEMI JOIN m USING (h)),
+k AS (SELECT doc_id, pos, sum(CASE WHEN prior IS NULL OR pos > prior + {depth} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM r),
+i AS (SELECT doc_id, k, min(pos) AS a, max(pos) + {depth} AS b FROM k GROUP BY ALL),
+g AS (SELECT doc_id, k, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) AS open FROM i),
+t AS (SELECT doc_id, count(*) AS spans, sum(b-a)::BIGINT AS gone, max(b) AS last, string_agg(substr(hx, 2*open+1, 2*(a-open)), '' ORDER BY k) AS rest FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(rest, '') || substr(hx, 2*coalesce(last, 0)+1))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
