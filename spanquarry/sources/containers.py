@@ -13,25 +13,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The container's magic and its header (version, count) and chunk header (size), little-endian.
-MAGIC = b"GLYPH1"
+# The container's header (version, count) and chunk header (size), little-endian, after a magic of
+# six bytes that callers may give for files of other writers.
+MAGIC = b"CHUNK1"
 HEADER, SIZE = struct.Struct("<BH"), struct.Struct("<I")
 
 
-def pack_chunks(parts: list[bytes], version: int = 1) -> bytes:
+def pack_chunks(parts: list[bytes], version: int = 1, magic: bytes = MAGIC) -> bytes:
     """A container of zlib-compressed chunks."""
-    out = [MAGIC, HEADER.pack(version, len(parts))]
+    out = [magic, HEADER.pack(version, len(parts))]
     for raw in parts:
         block = zlib.compress(raw)
         out += [SIZE.pack(len(block)), block]
     return b"".join(out)
 
 
-def unpack_chunks(blob: bytes) -> list[bytes]:
-    if blob[: len(MAGIC)] != MAGIC:
+def unpack_chunks(blob: bytes, magic: bytes = MAGIC) -> list[bytes]:
+    if blob[: len(magic)] != magic:
         raise ValueError("BAD_MAGIC")
-    _, count = HEADER.unpack_from(blob, len(MAGIC))
-    at, out = len(MAGIC) + HEADER.size, []
+    _, count = HEADER.unpack_from(blob, len(magic))
+    at, out = len(magic) + HEADER.size, []
     for _ in range(count):
         (size,) = SIZE.unpack_from(blob, at)
         at += SIZE.size
@@ -42,13 +43,13 @@ def unpack_chunks(blob: bytes) -> list[bytes]:
     return out
 
 
-def read_containers(spark: SparkSession, path: str) -> DataFrame:
+def read_containers(spark: SparkSession, path: str, magic: bytes = MAGIC) -> DataFrame:
     """(path, chunk_id, raw) of the chunk containers below ``path``, a file a task at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = unpack_chunks(blob)
+                parts = unpack_chunks(blob, magic)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], names=["path", "chunk_id", "raw"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
