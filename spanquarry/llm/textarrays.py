@@ -6,6 +6,8 @@ a word. Slices hold about ``SLICE_BYTES`` of text, or one longer text, which bou
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,6 +75,14 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         end = min(max(end, at + 1), n)
         yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
+    release()
+
+
+def release() -> None:
+    """Gives what a worker has freed back to the system: workers outlive their tasks and stand beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class Words:
