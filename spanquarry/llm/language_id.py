@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanquarry.llm.storage import small_batches
 from spanquarry.llm.textarrays import Words, mix, raw, slices
 
 DIMENSIONS = 1 << 18
@@ -234,6 +235,7 @@ def predict(column: pa.Array, lettered: np.ndarray, model: dict) -> tuple[list[s
 
 def annotate(docs: DataFrame, text_col: str, model: dict) -> DataFrame:
     """Every row as a struct ``row``, with ``lang_pred`` and ``score`` beside it."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by DIMENSIONS and MOST_LABELS
     kinds = T.StructType([T.StructField("row", docs.schema, False), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -252,6 +254,7 @@ def annotate(docs: DataFrame, text_col: str, model: dict) -> DataFrame:
 
 def identify(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row, by a model fitted on the table itself."""
+    small_batches(docs.sparkSession)
     model = fit(docs, id_col, text_col, lang_col)
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("t"))
     text = F.coalesce(F.col("t"), F.lit(""))

@@ -23,6 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to at most ``BATCH_ROWS`` rows: whole texts make the default of 10,000
+    rows tens of MB, held by the JVM and by the worker of every task at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def _remove_local(path: str) -> None:
     import shutil
 
@@ -33,6 +44,7 @@ class Scratch:
     """Tables of one query below one folder of the shared directory."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
