@@ -20,9 +20,10 @@ shared folder, so a lost executor costs only the step under way.
 
 Defined cases: a document without words has no shingles, no links and is its own component; one of fewer
 words than a shingle has its whole sequence as the only one; copies share a component whatever their
-number; rows that repeat an id are taken for versions of one document and share a component; a row without
-an id can be linked, and where no member of a component has an id the component is null; other columns of
-any name are ignored; an empty table gives an empty result.
+number; rows that repeat an id are taken for versions of one document and share a component, which links
+all that is like one of them; a row without an id can be linked, and where no member of a component has an
+id the component is null; ``part`` tells components apart by their texts alone, with or without ids; other
+columns of any name are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,6 +109,11 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, carry: str | N
     return rows.mapInArrow(run, schema)
 
 
+def _row_key(id_col: str, text_col: str) -> Column:
+    """A number of a row's id and text; a null id is none."""
+    return F.xxhash64(F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col), F.lit("")))
+
+
 def _sets_of(docs: DataFrame, width: int) -> DataFrame:
     """rep and its shingle hashes, from (rep, t)."""
 
@@ -191,26 +197,28 @@ def _in_blocks(open_members: DataFrame, percent: int, block: int) -> DataFrame:
 
 
 def link(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 80, block: int = BLOCK) -> tuple[DataFrame, Scratch]:
-    """doc_id, n_shingles, component_id, kept and digest of every row; links need ``percent`` per cent likeness."""
+    """doc_id, n_shingles, component_id, kept, digest, part and row key ``k`` of every row; links need ``percent`` per cent likeness."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
-    signed = scratch.save(sign(docs, id_col, text_col, width), "signed")
+    base = docs.select(F.col(id_col).cast("bigint").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), _row_key(id_col, text_col).alias("k"))
+    # a class is named by its digest, as ids may be null or repeat
+    name = F.when(F.col("digest").isNotNull(), F.xxhash64("digest"))
+    signed = scratch.save(sign(base, "i", "t", width, carry="k").withColumn("rep", name), "signed")
     named = signed.filter("digest is not null")
-    # a class is named by its smallest id, or by its digest where no row has one
-    ids = named.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    name = F.coalesce("least", -F.abs(F.xxhash64("digest") % (1 << 62)) - 1)
-    classes = scratch.save(ids.select("digest", name.alias("rep"), "least", "n", "bands"), "classes")
+    ids = named.groupBy("rep").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.min("k").alias("k"))
+    classes = scratch.save(ids, "classes")
     placed = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
-    members = scratch.save(placed.join(shared.select("key", "m"), "key").distinct(), "members")
+    members = scratch.save(placed.join(shared.select("key", "m"), "key"), "members")
     weight = members.groupBy("rep").agg(F.sum("m").alias("w"))
     weighted = scratch.save(members.join(weight, "rep"), "weighted")
-    centre = weighted.groupBy("key").agg(F.max(F.struct("w", (-F.col("rep")).alias("r"), "n")).alias("c"))
-    centre = scratch.save(centre.select("key", (-F.col("c.r")).alias("centre"), F.col("c.n").alias("cn")), "centres")
+    centre = weighted.groupBy("key").agg(F.max(F.struct("w", "rep", "n")).alias("c"))
+    centre = scratch.save(centre.select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("cn")), "centres")
     star = members.join(centre, "key").filter((F.col("rep") != F.col("centre")) & _fits("n", "cn", percent))
     star = scratch.save(star.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct(), "star")
-    wanted = members.select("rep").distinct().hint("merge")  # it grows with the documents, so at no size is it shipped
-    source = docs.select(F.col(id_col).cast("bigint").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    texts = source.join(wanted, source.i == wanted.rep, "left_semi").select(F.col("i").alias("rep"), "t")
+    # one row stands for its class; rows of one id and text are made one before they are dealt out
+    wanted = members.select("rep").distinct().join(classes.select("rep", "k"), "rep").hint("merge")  # it grows with the documents, so at no size is it shipped
+    source = base.select("k", "t").groupBy("k").agg(F.first("t").alias("t"))
+    texts = source.join(wanted, "k").select("rep", "t")
     sets = scratch.save(_sets_of(texts, width), "sets")
     links = scratch.save(_confirmed(star, sets, percent), "links")
     labels = components(links, scratch)
@@ -223,15 +231,24 @@ def link(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percent: i
     rest = rest.join(classes.select("rep", "bands"), "rep").join(sets, "rep").select("key", "rep", "n", "m", "comp", "outer", "bands", "hashes")
     more = scratch.save(_in_blocks(rest, percent, block), "more")
     if not more.isEmpty():
-        labels = components(links.union(more), scratch)
-    lowest = labels.join(classes.select(F.col("rep").alias("node"), "least"), "node").groupBy("label").agg(F.min("least").alias("component"))
-    group = labels.join(lowest, "label").select(F.col("node").alias("rep"), "component")
-    by_class = classes.join(group.distinct(), "rep", "left").select("digest", F.coalesce("component", "least").alias("component"))
-    by_class = scratch.save(by_class, "by-class")
-    joined = signed.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
+        links = links.union(more)
+        labels = components(links, scratch)
+    repeated = named.filter("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).filter("a < hi")
+    repeated = scratch.save(repeated.select("doc_id", "a"), "repeated")
+    whole = labels
+    if not repeated.isEmpty():
+        versions = named.select("doc_id", "rep").join(repeated, "doc_id").select("a", F.col("rep").alias("b"))
+        whole = components(links.union(versions), scratch)
+    lowest = whole.join(classes.select(F.col("rep").alias("node"), "least"), "node").groupBy("label").agg(F.min("least").alias("component"))
+    group = whole.join(lowest, "label").select(F.col("node").alias("rep"), "component", F.lit(True).alias("linked"))
+    part = labels.select(F.col("node").alias("rep"), F.col("label").alias("part"))
+    by_class = classes.select("rep", "least").join(group, "rep", "left").join(part, "rep", "left")
+    component = F.when(F.col("linked"), F.col("component")).otherwise(F.col("least"))
+    by_class = scratch.save(by_class.select("rep", component.alias("component"), F.coalesce("part", "rep").alias("part")), "by-class")
+    joined = signed.select("doc_id", "n_shingles", "digest", "rep", "k").join(by_class, "rep", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    out = joined.select("doc_id", "n_shingles", component.alias("component_id"), "digest")
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "digest"), scratch
+    out = joined.select("doc_id", "n_shingles", component.alias("component_id"), "digest", "part", "k")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "digest", "part", "k"), scratch
 
 
 def keep_one(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 80) -> DataFrame:

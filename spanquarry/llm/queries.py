@@ -18,7 +18,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked, _ = near_dedup.link(_table(spark, sf_dir, "documents"), "doc_id", "text", width=3, percent=85)
-    return linked.drop("digest")
+    return linked.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

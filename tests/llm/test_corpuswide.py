@@ -60,6 +60,23 @@ def test_blocks_find_what_a_star_leaves(spark):
     assert [got[k] for k in range(20)] == want
 
 
+def test_rows_without_ids_and_versions_are_linked(spark):
+    """Near copies without ids are linked to one another and to rows with ids; versions of an id link what is like either."""
+    texts = [[f"{kind}{k}" for k in range(120)] for kind in "abcdef"]
+    rows = []
+    for n, (ids, words) in enumerate(zip([(None, 4), (None, None, None), (7, None, 9), (9, 2), (11,), (11, None)], texts, strict=True)):
+        for j, i in enumerate(ids):
+            rows.append((i, " ".join([*words[:100], f"edit{n}-{j}", *words[101:]])))
+    rows += rows[:3]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    linked, _ = near_dedup.link(table, "doc_id", "text", 3, 85)
+    found, sizes = components(rows, 3, 85)
+    got = linked.collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter((r[0], n, c) for r, n, c in zip(rows, sizes, found, strict=True))
+    assert {c for r, c in zip(rows, found, strict=True) if r[0] is None} == {None, 2, 4, 11}
+    assert len({r["part"] for r in got}) == len(texts)
+
+
 def test_keep_one(docs, rows, empty):
     kept = [r["doc_id"] for r in near_dedup.keep_one(docs, "doc_id", "text").collect()]
     found, sizes = components(rows, 5, 80)
