@@ -254,26 +254,25 @@ def link(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percent: i
 def keep_one(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, columns as they are, that stand for their component.
 
-    That is the row of the smallest id; of several rows with that id, or of a component without ids, one row
-    of the smallest digest stays. Rows without words are no one's copies and all stay.
+    Components are those of the texts (``part``), so rows that only share an id, or have none, are not taken
+    for copies. The row of the smallest id stays, any id before none; of several such rows the one of the
+    smallest digest. Rows without words are no one's copies and all stay.
     """
     linked, _ = link(docs, id_col, text_col, width, percent)
-    has_set = F.col("digest").isNotNull()
-    best = linked.filter(has_set & F.col("kept")).groupBy("doc_id", "component_id").agg(F.min("digest").alias("digest"), F.count(F.lit(1)).alias("rows"))
-    told = Scratch(docs.sparkSession, "keep-one").save(best.select("doc_id", "digest", "rows"), "kept")
-    again = not told.filter("rows > 1 OR doc_id IS NULL").isEmpty()
-    text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    rows = rows.select("row", F.col(f"row.`{id_col}`").cast("bigint").alias("i"), (F.size(F.array_remove(F.split(text, "[\\x09-\\x0D\\x20]+"), "")) == 0).alias("blank"))
-    blank = rows.filter("blank").select("row.*")
-    if not again:
-        ids = told.select(F.col("doc_id").alias("i")).hint("merge")
-        return rows.filter(~F.col("blank")).join(ids, "i", "left_semi").select("row.*").unionByName(blank)
-    # rows that share an id: tell them apart by their sets
-    full = sign(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("i"), F.col(text_col).alias("t")), "i", "t", width, carry="row")
-    chosen = full.join(told.withColumnRenamed("digest", "d"), full.doc_id.eqNullSafe(told.doc_id) & (full.digest == F.col("d")), "left_semi")
-    first = chosen.groupBy("doc_id", "digest").agg(F.first("row").alias("row"))
-    return first.select("row.*").unionByName(blank)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "k", "rows")
+    same = linked.filter("digest is not null").groupBy("part", "doc_id", "digest", "k").agg(F.count(F.lit(1)).alias("rows"))
+    best = same.groupBy("part").agg(F.min(order).alias("best")).select("best.k", "best.rows")
+    told = Scratch(docs.sparkSession, "keep-one").save(best, "kept")
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        _row_key(id_col, text_col).alias("k"),
+        (~F.coalesce(F.col(text_col), F.lit("")).rlike("[^\\x09-\\x0D\\x20]")).alias("blank"),
+    )
+    pool = rows.filter(~F.col("blank")).select("k", "row")
+    if not told.filter("rows > 1").isEmpty():
+        pool = pool.groupBy("k").agg(F.first("row").alias("row"))  # rows of one id and text are one
+    kept = pool.join(told.select("k").hint("merge"), "k", "left_semi")
+    return kept.select("row.*").unionByName(rows.filter("blank").select("row.*"))
 
 
 def link_sql(width: int = 3, percent: int = 85) -> str:

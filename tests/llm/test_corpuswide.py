@@ -84,6 +84,17 @@ def test_keep_one(docs, rows, empty):
     assert near_dedup.keep_one(empty, "doc_id", "text").columns == empty.columns
 
 
+def test_keep_one_drops_no_text_for_its_id(spark):
+    """Unrelated texts without ids or under one id all stay; copies of each are cut to one."""
+    texts = [" ".join(f"{kind}{k}" for k in range(40)) for kind in "abcdefg"]
+    rows = [(None, t) for t in texts[:3]] * 2 + [(5, t) for t in texts[3:5]] * 2 + [(8, texts[5]), (2, texts[5]), (None, texts[5])]
+    rows += [(None, " \n"), (None, " \n"), (6, texts[6]), (5, texts[6])]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = Counter(tuple(r) for r in near_dedup.keep_one(table, "doc_id", "text").collect())
+    want = [(None, t) for t in texts[:3]] + [(5, t) for t in texts[3:5]] + [(2, texts[5]), (5, texts[6]), (None, " \n"), (None, " \n")]
+    assert got == Counter(want)
+
+
 def contained(rows, items, percent=80):
     def cut(text, width):
         w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower()) if x]
