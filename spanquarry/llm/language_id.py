@@ -6,8 +6,9 @@ whole word (the lexicon). Transition weights between the labels are learned with
 maximum likelihood; forward-backward gives the expected labels in training and the labels' marginals in
 prediction. A document's language is the label with the largest mean marginal, its score that mean.
 
-Training takes at most ``DOCS_PER_LABEL`` documents of each label, spread over all labelled rows by a hash of
-the id and of up to ``MOST_CHARS`` characters, and ``PARTS_PER_DOC`` stretches from all over each, joined into sequences that switch language.
+Training takes at most ``DOCS_PER_LABEL`` documents of each label, spread over all labelled rows of any length by a hash of
+id and text (rows equal in both count once), and ``PARTS_PER_DOC`` stretches from all over each, joined into sequences that switch language.
+The stretches are cut on the executors; where they exceed ``PART_BYTES``, their longest words give eight pieces each.
 Prediction reads whole texts and works on packed arrays, a slice of rows at a time.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0; without any labelled row all
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,9 +35,9 @@ DIMENSIONS = 1 << 18
 GRAMS = (2, 3, 4)
 DOCS_PER_LABEL = 250
 MOST_LABELS = 64
-MOST_CHARS = 50_000
 PARTS_PER_DOC = 8
 PART_WORDS = 12
+PART_BYTES = 1 << 15
 SEQUENCE_PARTS = 4
 EPOCHS = 3
 RATE = 0.15
@@ -127,16 +128,46 @@ def marginals(potentials: np.ndarray, first: np.ndarray, begin: np.ndarray, step
     return out, moves * step
 
 
+def _parts(lo: int, hi: int) -> list[tuple[int, int]]:
+    """At most ``PARTS_PER_DOC`` stretches of the words ``lo`` to ``hi``, spread over them."""
+    cuts = list(range(lo, hi, PART_WORDS))
+    if len(cuts) > PARTS_PER_DOC:
+        cuts = [cuts[int(i)] for i in np.linspace(0, len(cuts) - 1, PARTS_PER_DOC)]
+    return [(c, min(c + PART_WORDS, hi)) for c in cuts]
+
+
+def _piece(word: bytes, most: int) -> bytes:
+    """The word, or eight pieces from all over it that together have at most ``most`` bytes."""
+    if len(word) <= most:
+        return word
+    size = most // 8
+    return b"".join(word[int(a) : int(a) + size] for a in np.linspace(0, len(word) - size, 8))
+
+
+def stretches(docs: DataFrame) -> DataFrame:
+    """(l, h, t): the words of a document's stretches in place of its text ``t``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in slices(batch.column(2)):
+                words, out = Words(data, offsets), []
+                for r in range(hi - lo):
+                    own = [data[words.start[k] : words.end[k]].tobytes() for a, b in _parts(int(words.first[r]), int(words.first[r + 1])) for k in range(a, b)]
+                    if sum(map(len, own)) > PART_BYTES:
+                        own = [_piece(w, PART_BYTES // len(own)) for w in own]
+                    out.append(b" ".join(own))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(out, pa.binary())], names=["l", "h", "t"])
+
+    return docs.select("l", "h", "t").mapInArrow(run, "l string, h bigint, t binary")
+
+
 def train(texts: list[bytes], labels: np.ndarray, count: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights by feature and label, start scores and transition scores."""
     rng = np.random.default_rng(seed)
     words = Words(*raw(pa.array(texts, pa.large_binary())))
     parts: list[list[tuple[int, int]]] = [[] for _ in range(count)]
     for k in range(len(texts)):
-        lo, hi = int(words.first[k]), int(words.first[k + 1])
-        cuts = list(range(lo, hi, PART_WORDS))
-        for c in cuts if len(cuts) <= PARTS_PER_DOC else [cuts[int(i)] for i in np.linspace(0, len(cuts) - 1, PARTS_PER_DOC)]:
-            parts[labels[k]].append((c, min(c + PART_WORDS, hi)))
+        parts[labels[k]].extend(_parts(int(words.first[k]), int(words.first[k + 1])))
     every = [(label, part) for label, own in enumerate(parts) for part in own]
     # features of the chosen stretches alone, which from here on are ranges of the chosen words
     chosen = np.concatenate([np.arange(*part) for _, part in every]) if every else np.empty(0, dtype=np.int64)
@@ -183,24 +214,21 @@ def held_out(id_col: str) -> Column:
 
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_label: int = DOCS_PER_LABEL) -> dict:
     """A model from a bounded sample of the labelled rows that are not held out."""
-    usable = docs.filter(~held_out(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    usable = usable.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    totals = usable.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LABELS).collect()
+    small_batches(docs.sparkSession)
+    text = F.col(text_col)
+    usable = docs.filter(~held_out(id_col) & text.rlike("[^\\x09-\\x0D\\x20]") & F.col(lang_col).isNotNull())
+    usable = usable.select(F.xxhash64(F.col(id_col), text, F.lit("language")).alias("h"), text.alias("t"), F.col(lang_col).alias("l"))
+    totals = usable.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LABELS).collect()
     names = sorted(r["l"] for r in totals)
     if not names:
         return {"labels": []}
     scale = 1 << 30
-    share = F.create_map(*(F.lit(x) for r in totals for x in (r["l"], min(scale, 2 * scale * docs_per_label // r["n"] + 1))))
-    spread = F.pmod(F.xxhash64("i", F.lit("language")), F.lit(scale))
-    sample = usable.filter(spread <= F.element_at(share, F.col("l"))).withColumn("h", spread)
-    sample = sample.filter(F.length("t") <= MOST_CHARS).select("l", "h", "t")
-    rows = sample.orderBy("h", "t").limit(2 * docs_per_label * len(names) + 64).collect()
-    texts, labels, taken = [], [], dict.fromkeys(names, 0)
-    for r in rows:
-        if taken[r["l"]] < docs_per_label and r["t"].strip():
-            taken[r["l"]] += 1
-            texts.append(r["t"].encode())
-            labels.append(names.index(r["l"]))
+    share = F.create_map(*(F.lit(x) for r in totals for x in (r["l"], min(scale, 2 * scale * docs_per_label // max(r["n"], 1) + 1))))
+    sample = usable.filter(F.pmod("h", F.lit(scale)) <= F.element_at(share, F.col("l")))
+    first = Window.partitionBy("l").orderBy(F.pmod("h", F.lit(scale)), "h")
+    sample = stretches(sample).dropDuplicates(["l", "h"]).withColumn("k", F.row_number().over(first))
+    rows = sample.filter(F.col("k") <= docs_per_label).orderBy("l", "k").collect()
+    texts, labels = [bytes(r["t"]) for r in rows], [names.index(r["l"]) for r in rows]
     if not texts:
         return {"labels": []}
     weights, begin, step = train(texts, np.array(labels), len(names))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanquarry.llm import fingerprints, language_id, licenses, lm_score, token_counts
@@ -124,6 +125,19 @@ def test_language_of_held_out_documents(docs, rows, empty):
     assert language_id.identify(empty, "doc_id", "text", "lang").count() == 0
 
 
+def test_language_learned_from_long_documents_alone(spark):
+    """A label is learned if all its documents are long, or share one id, or have none."""
+    kinds = {"aa": "kalo tumi rasa belo", "bb": "wyzq xhgt prkv zzdf", "cc": "oeui eaio uoie aeou"}
+    rng = np.random.default_rng(3)
+    texts = {k: lambda n, w=w: " ".join(rng.choice(w.split(), n)) for k, w in kinds.items()}
+    rows = [(None, texts["aa"](40), "aa") for _ in range(40)] + [(1, texts["bb"](45_000), "bb") for _ in range(3)] + [(1, texts["cc"](40), "cc") for _ in range(40)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.fit(table, "doc_id", "text", "lang", docs_per_label=15)
+    assert model["labels"] == ["aa", "bb", "cc"]
+    langs, _ = language_id.predict(pa.array([texts[k](30) for k in kinds]), np.ones(3, dtype=bool), model)
+    assert langs == list(kinds)
+
+
 def test_language_model_base_is_exact(docs, rows, empty):
     train = Counter()
     for i, text, *_ in rows:
