@@ -9,6 +9,8 @@ prediction. A document's language is the label with the largest mean marginal, i
 Training takes at most ``DOCS_PER_LABEL`` documents of each label, spread over all labelled rows of any length by a hash of
 id and text (rows equal in both count once), and ``PARTS_PER_DOC`` stretches from all over each, joined into sequences that switch language.
 The stretches are cut on the executors; where they exceed ``PART_BYTES``, their longest words give eight pieces each.
+Every label is learned. Beyond ``FULL_LABELS`` labels, the weights' hash dimension and the documents of a
+label shrink so that the model and the sample stay the size they have there; beyond ``MOST_LABELS``, ``fit`` raises.
 Prediction reads whole texts and works on packed arrays, a slice of rows at a time.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0; without any labelled row all
@@ -29,12 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanquarry.llm.storage import small_batches
-from spanquarry.llm.textarrays import Words, mix, raw, slices
+from spanquarry.llm.textarrays import SLICE_BYTES, Words, mix, raw, slices
 
 DIMENSIONS = 1 << 18
 GRAMS = (2, 3, 4)
 DOCS_PER_LABEL = 250
-MOST_LABELS = 64
+FULL_LABELS = 64
+MOST_LABELS = 512
 PARTS_PER_DOC = 8
 PART_WORDS = 12
 PART_BYTES = 1 << 15
@@ -45,7 +48,7 @@ UNKNOWN = "und"
 U = np.uint64
 
 
-def features(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def features(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of the words at ``start``..``end`` of ``data``, and the offsets of each word's."""
     size = end - start + 2
     first = np.zeros(len(size) + 1, dtype=np.int64)
@@ -69,7 +72,7 @@ def features(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.nd
     who = np.concatenate(owners)
     order = np.argsort(who, kind="stable")
     offsets = np.searchsorted(who[order], np.arange(len(size) + 1))
-    return (np.concatenate(numbers)[order] & U(DIMENSIONS - 1)).astype(np.int64), offsets
+    return (np.concatenate(numbers)[order] & U(dimensions - 1)).astype(np.int64), offsets
 
 
 def marginals(potentials: np.ndarray, first: np.ndarray, begin: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,6 +167,9 @@ def stretches(docs: DataFrame) -> DataFrame:
 def train(texts: list[bytes], labels: np.ndarray, count: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights by feature and label, start scores and transition scores."""
     rng = np.random.default_rng(seed)
+    dimensions = DIMENSIONS
+    while dimensions * count > DIMENSIONS * FULL_LABELS:
+        dimensions //= 2
     words = Words(*raw(pa.array(texts, pa.large_binary())))
     parts: list[list[tuple[int, int]]] = [[] for _ in range(count)]
     for k in range(len(texts)):
@@ -173,9 +179,9 @@ def train(texts: list[bytes], labels: np.ndarray, count: int, seed: int = 7) ->
     chosen = np.concatenate([np.arange(*part) for _, part in every]) if every else np.empty(0, dtype=np.int64)
     ends = np.cumsum([b - a for _, (a, b) in every])
     every = [(label, (int(end) - (b - a), int(end))) for (label, (a, b)), end in zip(every, ends, strict=True)]
-    number, offsets = features(words.data, words.start[chosen], words.end[chosen], words.hash[chosen])
+    number, offsets = features(words.data, words.start[chosen], words.end[chosen], words.hash[chosen], dimensions)
     del words
-    weights, begin, step = np.zeros((DIMENSIONS, count)), np.zeros(count), np.zeros((count, count))
+    weights, begin, step = np.zeros((dimensions, count)), np.zeros(count), np.zeros((count, count))
     squares = [np.full(x.shape, 1e-2) for x in (weights, begin, step)]
     for _ in range(EPOCHS):
         rng.shuffle(every)
@@ -218,10 +224,13 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lab
     text = F.col(text_col)
     usable = docs.filter(~held_out(id_col) & text.rlike("[^\\x09-\\x0D\\x20]") & F.col(lang_col).isNotNull())
     usable = usable.select(F.xxhash64(F.col(id_col), text, F.lit("language")).alias("h"), text.alias("t"), F.col(lang_col).alias("l"))
-    totals = usable.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LABELS).collect()
+    totals = usable.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LABELS + 1).collect()
+    if len(totals) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels in column {lang_col}")
     names = sorted(r["l"] for r in totals)
     if not names:
         return {"labels": []}
+    docs_per_label = max(1, min(docs_per_label, docs_per_label * FULL_LABELS // len(names)))
     scale = 1 << 30
     share = F.create_map(*(F.lit(x) for r in totals for x in (r["l"], min(scale, 2 * scale * docs_per_label // max(r["n"], 1) + 1))))
     sample = usable.filter(F.pmod("h", F.lit(scale)) <= F.element_at(share, F.col("l")))
@@ -241,12 +250,12 @@ def predict(column: pa.Array, lettered: np.ndarray, model: dict) -> tuple[list[s
     langs, score = [UNKNOWN] * len(column), np.zeros(len(column))
     if not names:
         return langs, score
-    for lo, hi, data, offsets in slices(column):
+    for lo, hi, data, offsets in slices(column, SLICE_BYTES * 16 // max(16, len(names))):  # the marginals grow with the labels
         words = Words(data, offsets)
         if not len(words.hash):
             continue
         kinds, example, which = np.unique(words.hash, return_index=True, return_inverse=True)
-        number, first = features(words.data, words.start[example], words.end[example], kinds)
+        number, first = features(words.data, words.start[example], words.end[example], kinds, len(model["weights"]))
         emission = np.add.reduceat(model["weights"][number], first[:-1], axis=0).astype(np.float64)
         emission = np.exp(emission - emission.max(1, keepdims=True))
         gamma, _ = marginals(emission[which], words.first, model["begin"], model["step"])
@@ -264,7 +273,7 @@ def predict(column: pa.Array, lettered: np.ndarray, model: dict) -> tuple[list[s
 def annotate(docs: DataFrame, text_col: str, model: dict) -> DataFrame:
     """Every row as a struct ``row``, with ``lang_pred`` and ``score`` beside it."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by DIMENSIONS and MOST_LABELS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by DIMENSIONS and FULL_LABELS
     kinds = T.StructType([T.StructField("row", docs.schema, False), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -138,6 +138,20 @@ def test_language_learned_from_long_documents_alone(spark):
     assert langs == list(kinds)
 
 
+def test_every_label_is_learned(spark):
+    """Seventy labels, all of them predicted; too many are refused."""
+    words = {f"l{k:02d}": [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}" for x in ("om", "ur", "eth", "is")] for k in range(70)}
+    rows = [(1, " ".join(w[(j + k) % 4] for k in range(12 + j)), lang) for lang, w in words.items() for j in range(6)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.fit(table, "doc_id", "text", "lang", docs_per_label=6)
+    assert model["labels"] == sorted(words)
+    langs, _ = language_id.predict(pa.array([" ".join(w * 3) for w in words.values()]), np.ones(70, dtype=bool), model)
+    assert langs == list(words)
+    many = spark.range(language_id.MOST_LABELS + 1).selectExpr("1L AS doc_id", "'some text' AS text", "concat('l', id) AS lang")
+    with pytest.raises(ValueError, match="labels"):
+        language_id.fit(many, "doc_id", "text", "lang")
+
+
 def test_language_model_base_is_exact(docs, rows, empty):
     train = Counter()
     for i, text, *_ in rows:
