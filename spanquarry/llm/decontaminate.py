@@ -1,11 +1,10 @@
-"""Benchmark decontamination by a size-partitioned MinHash containment search, in DataFrame functions only.
+"""Benchmark decontamination by an asymmetric MinHash containment search, in DataFrame functions only.
 
 A test item of twenty shingles inside a document of twenty thousand has a Jaccard likeness near 0.001, so
-signatures of whole documents cannot find it. The search is therefore asymmetric: items are partitioned by
-size (powers of two of their shingle count), and an item is indexed by the minima of its shingles under as
-many random orders as its partition needs, so that an item of which a document holds the wanted share has
-at least one minimum in the document but for a chance of ``MISS``. Small partitions need fewer orders, as
-they have fewer shingles. Every document's full set of shingle hashes is looked up in that index; a pair of
+signatures of whole documents cannot find it. The search is therefore asymmetric: an item is
+indexed by the minima of its shingles under so many random orders that an item of which a document holds the
+wanted share has at least one minimum in the document but for a chance of ``MISS``. That chance depends on the
+share alone, so one number serves items of all sizes; an item of no more shingles is indexed whole. Every document's full set of shingle hashes is looked up in that index; a pair of
 document and item that meets is verified by exact containment of the shingles themselves, as words.
 
 The documents are read once and not shuffled. The index is a set of at most ``LITERAL`` numbers inside the
