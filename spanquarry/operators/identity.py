@@ -144,12 +144,16 @@ def absence_witnesses(table: DataFrame, corpus: DataFrame, patterns: DataFrame)
 
 
 def evidence(corpus: DataFrame, patterns: DataFrame, occurrences: DataFrame, before: int = 24, after: int = 24) -> DataFrame:
-    """Occurrences with the document's digest, the bytes found and their surroundings."""
-    rows = occurrences.join(corpus.select("doc_id", "content"), "doc_id").join(F.broadcast(patterns), "query_id")
+    """Occurrences with the document's digest (computed once a document), the bytes found and their surroundings."""
+    from spanquarry.operators.match import opened
+
+    known = patterns.select("query_id", "pattern", F.length("pattern").alias("size"))
+    rows = occurrences.join(known.drop("pattern"), "query_id")
     start = F.greatest(F.col("doc_offset") - before, F.lit(0))
-    found = part(F.col("content"), F.col("doc_offset"), F.length("pattern"))
-    around = part(F.col("content"), start, F.col("doc_offset") + F.length("pattern") + after - start)
-    return rows.select("query_id", "doc_id", "doc_offset", F.sha2("content", 256).alias("source_sha256"), F.lower(F.hex(found)).alias("observed_hex"), (found == F.col("pattern")).alias("byte_check"), latin1(around).alias("context"))
+    hashed = corpus.select("doc_id", "content", F.sha2("content", 256).alias("source_sha256"))
+    met = opened(hashed, rows, start, F.col("doc_offset") + F.col("size") + after - start, "source_sha256").join(known, "query_id")
+    found = part(F.col("found"), F.least(F.col("doc_offset"), F.lit(before)), F.col("size"))
+    return met.select("query_id", "doc_id", "doc_offset", "source_sha256", F.lower(F.hex(found)).alias("observed_hex"), (found == F.col("pattern")).alias("byte_check"), latin1(F.col("found")).alias("context"))
 
 
 def replay(corpus: DataFrame, patterns: DataFrame, kept: DataFrame) -> DataFrame:
