@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spanquarry.functions.binary import entropy, part, starts
 from spanquarry.operators import match
 from spanquarry.operators.match import flip
+from spanquarry.sources.shared import saved
 
 CHUNK = 16384
 CHUNKS_PER_DOC = 1 << 20
@@ -67,16 +68,19 @@ def retrieve(queries: DataFrame, corpus: DataFrame, length: int = FRAGMENT, most
 
     With ``most_hits`` an anchor of more occurrences makes the query NON_SELECTIVE with a reason.
     """
-    found = anchors(queries, length=length)
-    hits = anchor_hits(found, corpus)
-    chosen = picked(found, hits)
-    chunks = shortlist(chosen, hits)
-    sums = chosen.groupBy("query_id").agg(F.count(F.lit(1)).alias("k"), F.min("hits").alias("least"), F.max("hits").alias("most"))
-    every = picked(found, hits, 1 << 30).groupBy("query_id").agg(F.max("hits").alias("any"))
-    per_anchor = hits.join(chosen.select("query_id", "start"), ["query_id", "start"], "left_semi").select("query_id", "start", "chunk").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("placed"))
-    lists = chunks.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("chunk")).alias("chunks"))
+    found = saved(anchors(queries, length=length), "anchors")
+    hits = saved(anchor_hits(found, corpus), "anchor-hits")
+    ranked = saved(picked(found, hits, MOST_WINDOWS), "ranked")
+    chosen = ranked.filter(F.col("rank") <= PICK)
+    sums = ranked.groupBy("query_id").agg(
+        F.count(F.when(F.col("rank") <= PICK, 1)).alias("k"), F.min("hits").alias("least"), F.max(F.when(F.col("rank") <= PICK, F.col("hits"))).alias("most"), F.max("hits").alias("any")
+    )
+    # a query's candidates are counted by chunk; only the first ones of it, in order, become a list
+    met = saved(hits.join(chosen.select("query_id", "start"), ["query_id", "start"], "left_semi").groupBy("query_id", "chunk").agg(F.countDistinct("start").alias("p")), "candidates")
+    counts = met.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("placed"))
+    first = match.bounded(met.select("query_id", "chunk"), limit, ["chunk"]).groupBy("query_id").agg(F.array_sort(F.collect_list("chunk")).alias("chunks"))
     rows = queries.select("query_id", F.length("content").alias("len"))
-    for other in (sums, every, per_anchor, lists):
+    for other in (sums, counts, first):
         rows = rows.join(other, "query_id", "left")
     n = F.coalesce("n", F.lit(0))
     wide = F.lit(False) if most_hits is None else F.col("most") > most_hits
@@ -85,7 +89,7 @@ def retrieve(queries: DataFrame, corpus: DataFrame, length: int = FRAGMENT, most
         .when(F.col("k").isNull(), "NON_SELECTIVE").when(F.col("any") == 0, "NO_HIT").when(wide, "NON_SELECTIVE").when(n == 0, "NO_HIT").when(F.col("least") == 0, "INVALID_PARTIAL_HIT")
         .when(n > NON_SELECTIVE, "NON_SELECTIVE").when((n == 1) & (F.col("placed") == F.col("k")), "EXACT_UNIQUE").otherwise("EXACT_MULTI")
     )
-    return rows.select("query_id", outcome.alias("outcome"), F.when(wide, "RANGE_TOO_WIDE").alias("reason"), n.cast("bigint").alias("candidates"), (n > limit).alias("truncated"), F.slice(F.coalesce("chunks", F.array().cast("array<bigint>")), 1, limit).alias("chunks"))
+    return rows.select("query_id", outcome.alias("outcome"), F.when(wide, "RANGE_TOO_WIDE").alias("reason"), n.cast("bigint").alias("candidates"), (n > limit).alias("truncated"), F.coalesce("chunks", F.array().cast("array<bigint>")).alias("chunks"))
 
 
 def perturbed(queries: DataFrame) -> DataFrame:

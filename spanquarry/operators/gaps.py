@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanquarry.sources.shared import saved
+
 # The distance of neighbouring fragments, its tolerance, the shortest chain and the scan limit.
 DISTANCE, TOLERANCE, LEAST_CHAIN, MOST_SCANNED = 176, 32, 3, 20_000
 
@@ -21,6 +23,7 @@ def pairs(hits: DataFrame, most_scanned: int = MOST_SCANNED, template: DataFrame
 
     Fragments i of more than ``most_scanned`` occurrences are left out. ``template`` (i, j) restricts pairs.
     """
+    hits = saved(hits, "hits")
     anchored = hits.withColumn("anchor", F.col("doc_offset") - F.col("start"))
     counts = hits.groupBy("query_id", "frag").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most_scanned).select("query_id", F.col("frag"))
     a = anchored.join(counts, ["query_id", "frag"], "left_semi").select("query_id", "doc_id", "anchor", "chunk", F.col("frag").alias("i"))

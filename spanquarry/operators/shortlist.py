@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spanquarry.functions.binary import part
 from spanquarry.operators import signatures as S
+from spanquarry.sources.shared import saved
 
 # The fragments of a query and the weights of the scores.
 FRAGMENTS, FRAGMENT, GAP = 5, 48, 128
@@ -78,7 +79,7 @@ def evidence(frags: DataFrame, dense: DataFrame, rare: DataFrame) -> DataFrame:
     sigs = signatures_of(frags)
     d = _by_fragment(sigs, dense.select("chunk", "sig", "cnt"), F.sum("cnt").alias("dense"))
     r = _by_fragment(sigs, rare, F.sum(F.col("cnt") / (F.col("df") + 1.0)).alias("rare"), F.count(F.lit(1)).alias("matches"))
-    return d.join(r, ["query_id", "chunk", "frag"], "full_outer")
+    return saved(d.join(r, ["query_id", "chunk", "frag"], "full_outer"), "evidence")  # rankings read it several times
 
 
 def hybrid(found: DataFrame) -> DataFrame:
@@ -166,7 +167,7 @@ def histogram(hits: DataFrame, weight: Column, top: int) -> DataFrame:
 
 def fusion(hits: DataFrame, chunks: int, top: int) -> DataFrame:
     """Fragments' occurrences (query_id, frag, chunk) fused: presence, idf, least, weighted total, balance, total."""
-    counts = hits.groupBy("query_id", "frag", "chunk").agg(F.count(F.lit(1)).alias("v"))
+    counts = saved(hits.groupBy("query_id", "frag", "chunk").agg(F.count(F.lit(1)).alias("v")), "fragment-counts")
     widths = counts.groupBy("query_id", "frag").agg(F.count(F.lit(1)).alias("width"))
     rows = counts.join(widths, ["query_id", "frag"]).withColumn("w", idf(F.col("width"), chunks))
     scored = rows.groupBy("query_id", "chunk").agg(

@@ -16,6 +16,7 @@ from spanquarry.operators import signatures as S
 from spanquarry.plans import tables as T
 from spanquarry.plans.registry import query
 from spanquarry.sources import corpus
+from spanquarry.sources.shared import saved
 
 TOP = 16
 
@@ -61,7 +62,7 @@ def a3_entropy_filter(spark, d):
 
 def _hits(spark, d):
     found = A.anchors(_queries(spark, d))
-    return found, A.anchor_hits(found, T.documents(spark, d))
+    return found, saved(A.anchor_hits(found, T.documents(spark, d)), "anchor-hits")
 
 
 @query(ANCHOR + "SELECT query_id, start, hits, rank FROM pick")
@@ -83,27 +84,25 @@ def a6_shortlist(spark, d):
 OUTCOME = ANCHOR + """, s AS (SELECT query_id, count(*) AS k, min(hits) AS lo, max(hits) AS hi FROM pick GROUP BY ALL), e AS (SELECT query_id, max(hits) AS any_ FROM an GROUP BY ALL),
 pl AS (SELECT query_id, count(*) AS placed FROM (SELECT DISTINCT query_id, start, chunk FROM hit JOIN pick USING (query_id, start)) GROUP BY ALL), l AS (SELECT query_id, count(*) AS n, list_sort(list(chunk)) AS cs FROM sl GROUP BY ALL),
 j AS (SELECT query_id, q.n AS len, k, lo, hi, any_, placed, coalesce(l.n, 0) AS c, coalesce(cs, []) AS cs FROM q LEFT JOIN s USING (query_id) LEFT JOIN e USING (query_id) LEFT JOIN pl USING (query_id) LEFT JOIN l USING (query_id))
-SELECT query_id, CASE WHEN len = 0 THEN 'EMPTY_QUERY' WHEN len > 1048576 THEN 'QUERY_TOO_LONG' WHEN len < 48 THEN 'TOO_SHORT' WHEN k IS NULL THEN 'NON_SELECTIVE' WHEN any_ = 0 THEN 'NO_HIT' WHEN WIDE THEN 'NON_SELECTIVE' WHEN c = 0 THEN 'NO_HIT' WHEN lo = 0 THEN 'INVALID_PARTIAL_HIT' WHEN c > 16 THEN 'NON_SELECTIVE' WHEN c = 1 AND placed = k THEN 'EXACT_UNIQUE' ELSE 'EXACT_MULTI' END AS outcome,
-CASE WHEN WIDE THEN 'RANGE_TOO_' || 'W' || 'IDE' END AS reason, c AS candidates, c > 100 AS truncated, cs[1:100] AS chunks FROM j"""
+SELECT query_id, CASE WHEN len = 0 THEN 'EMPTY_QUERY' WHEN len > 1048576 THEN 'QUERY_TOO_LONG' WHEN len < 48 THEN 'TOO_SHORT' WHEN k IS NULL THEN 'NON_SELECTIVE' WHEN any_ = 0 THEN 'NO_HIT' WHEN {capped} THEN 'NON_SELECTIVE' WHEN c = 0 THEN 'NO_HIT' WHEN lo = 0 THEN 'INVALID_PARTIAL_HIT' WHEN c > 16 THEN 'NON_SELECTIVE' WHEN c = 1 AND placed = k THEN 'EXACT_UNIQUE' ELSE 'EXACT_MULTI' END AS outcome,
+CASE WHEN {capped} THEN 'RANGE_TOO_WIDE' END AS reason, c AS candidates, c > 100 AS truncated, cs[1:100] AS chunks FROM j"""
 
 
-@query(OUTCOME.replace("WIDE", "false"))
+@query(OUTCOME.replace("{capped}", "false"))
 def a7_outcomes(spark, d):
     return A.retrieve(_queries(spark, d), T.documents(spark, d))
 
 
-@query(OUTCOME.replace("WIDE", "coalesce(hi > 1, false)"))
+@query(OUTCOME.replace("{capped}", "coalesce(hi > 1, false)"))
 def a8_range_cap(spark, d):
     return A.retrieve(_queries(spark, d), T.documents(spark, d), most_hits=1).na.fill({"truncated": False})
 
 
 @query(ANCHOR + "SELECT query_id, shard, chunk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shard, chunk) AS r FROM (SELECT DISTINCT query_id, doc_id % 4 AS shard, chunk FROM hit)) WHERE r <= 100")
 def a9_sharded_retrieval(spark, d):
-    """Each shard retrieves alone; the shards' chunks are merged in order, the first hundred a query."""
-    found = A.anchors(_queries(spark, d))
-    docs = T.documents(spark, d)
-    parts = [A.anchor_hits(found, docs.filter(F.col("doc_id") % 4 == s)).select("query_id", F.lit(s).cast("bigint").alias("shard"), "chunk") for s in range(4)]
-    merged = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).distinct()
+    """Chunks by shard, merged in order of shard, the first hundred a query; one pass serves all shards."""
+    hits = A.anchor_hits(A.anchors(_queries(spark, d)), T.documents(spark, d))
+    merged = hits.select("query_id", (F.col("doc_id") % 4).alias("shard"), "chunk").distinct()
     return M.bounded(merged, 100, ["shard", "chunk"])
 
 
@@ -393,7 +392,7 @@ def j6_greedy_chains(spark, d):
 
 @query(FHIT + ", s2 AS (SELECT a.query_id, a.chunk, count(*) AS skips FROM fh a JOIN fh b ON a.query_id = b.query_id AND a.chunk = b.chunk AND b.frag >= a.frag + 2 AND abs(b.doc_offset - a.doc_offset - 32*(b.frag - a.frag)) <= 4*(b.frag - a.frag) GROUP BY ALL) SELECT * FROM s2")
 def j7_skip_pairs(spark, d):
-    h = fragment_hits(spark, d)
+    h = saved(fragment_hits(spark, d), "hits")
     b = h.select("query_id", "chunk", F.col("frag").alias("j"), F.col("doc_offset").alias("o"))
     far = F.col("j") - F.col("frag")
     met = h.join(b, ["query_id", "chunk"]).filter((far >= 2) & (F.abs(F.col("o") - F.col("doc_offset") - far * 32) <= far * 4))
