@@ -7,6 +7,9 @@ from one equality join on (query, document, that difference).
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import pairwise
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -59,19 +62,44 @@ def median_deviation(values: Column) -> Column:
     return median(F.transform(values, lambda v: F.abs(v - median(values))))
 
 
-def _chains(lists: list[list[int]], distance: int, tolerance: int) -> list[list[int]]:
-    """All chains from the first fragment on, as far as any fragment extends one."""
-    alive = [[p] for p in (lists[0] if lists else [])]
-    for places in lists[1:]:
-        table = np.array(sorted(places))
-        grown = []
-        for chain in alive:
-            low, high = np.searchsorted(table, [max(chain[-1] + distance - tolerance, chain[-1] + 1), chain[-1] + distance + tolerance + 1])
-            grown += [[*chain, int(p)] for p in table[low:high]]
-        if not grown:
+def _best_chain(lists: list[list[int]], distance: int, tolerance: int, least: int) -> tuple[int, list[int]]:
+    """The number of chains from the first fragment on, as far as any fragment extends one, and the best of them.
+
+    Places carry counts and the least error from there on, never chains. Among the chains of the least error only
+    one for each place and collection of gaps is followed, since those decide the deviation.
+    """
+
+    def reach(place: int, table: list[int]) -> list[int]:
+        low = max(place + distance - tolerance, place + 1)
+        return table[bisect_left(table, low) : bisect_right(table, place + distance + tolerance)]
+
+    levels = [{p: 1 for p in lists[0]}] if lists and lists[0] else []
+    for table in lists[1:]:
+        counts: dict[int, int] = {}
+        for place, n in levels[-1].items() if levels else ():
+            for q in reach(place, table):
+                counts[q] = counts.get(q, 0) + n
+        if not counts:
             break
-        alive = grown
-    return alive
+        levels.append(counts)
+    if len(levels) < max(least, 1):
+        return 0, []
+    left = [dict.fromkeys(levels[-1], 0)]  # the least error from a place to the last level
+    for depth in range(len(levels) - 2, -1, -1):
+        costs = {p: [abs(q - p - distance) + left[0][q] for q in reach(p, lists[depth + 1]) if q in left[0]] for p in levels[depth]}
+        left.insert(0, {p: min(c) for p, c in costs.items() if c})
+    error = min(left[0].values())
+    open_: dict[tuple, list[int]] = {(p, ()): [p] for p in sorted(left[0]) if left[0][p] == error}
+    for depth in range(len(levels) - 1):
+        grown: dict[tuple, list[int]] = {}
+        for (p, gaps), chain in open_.items():
+            for q in reach(p, lists[depth + 1]):
+                if q in left[depth + 1] and abs(q - p - distance) + left[depth + 1][q] == left[depth][p]:
+                    key, longer = (q, tuple(sorted((*gaps, q - p)))), [*chain, q]
+                    grown[key] = min(grown.get(key, longer), longer)
+        open_ = grown
+    best = min(open_.items(), key=lambda x: (_mad(list(x[0][1])), x[1]))[1]
+    return min(sum(levels[-1].values()), (1 << 63) - 1), best
 
 
 def _greedy(lists: list[list[int]], distance: int, tolerance: int) -> list[list[int]]:
@@ -92,6 +120,12 @@ def _mad(x: list[int]) -> float:
     return float(np.median(np.abs(np.array(x) - np.median(x)))) if x else 0.0
 
 
+def _cost(chain: list[int], distance: int) -> tuple[int, float]:
+    """The sum of the gaps' errors and their median absolute deviation."""
+    gaps = [b - a for a, b in pairwise(chain)]
+    return sum(abs(g - distance) for g in gaps), _mad(gaps)
+
+
 def chains(hits: DataFrame, fragments: int, greedy: bool = False, distance: int = DISTANCE, tolerance: int = TOLERANCE, least: int = LEAST_CHAIN) -> DataFrame:
     """(query_id, chunk, chains, best_length, gap_error, gap_mad, skips): the best chain of each chunk, by length,
     then smaller error, then smaller deviation. ``skips`` are the best chain's pairs of fragments further apart
@@ -99,16 +133,14 @@ def chains(hits: DataFrame, fragments: int, greedy: bool = False, distance: int
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         lists = [sorted(rows.loc[rows.frag == f, "doc_offset"]) for f in range(fragments)]
-        found = [c for c in (_greedy if greedy else _chains)(lists, distance, tolerance) if len(c) >= least]
-        if not found:
-            return pd.DataFrame({"query_id": [key[0]], "chunk": [key[1]], "chains": [0], "best_length": [0], "gap_error": [0], "gap_mad": [0.0], "skips": [0]})
-        scored = []
-        for c in found:
-            gaps = [b - a for a, b in zip(c, c[1:], strict=False)]
-            scored.append((-len(c), sum(abs(g - distance) for g in gaps), _mad(gaps), c))
-        length, error, mad, best = min(scored)
+        if greedy:
+            found = [c for c in _greedy(lists, distance, tolerance) if len(c) >= least]
+            count, best = len(found), min(found, key=lambda c: (-len(c), *_cost(c, distance), c), default=[])
+        else:
+            count, best = _best_chain(lists, distance, tolerance, least)
+        error, mad = _cost(best, distance)
         skips = sum(abs(best[j] - best[i] - distance * (j - i)) <= tolerance * (j - i) for i in range(len(best)) for j in range(i + 2, len(best)))
-        return pd.DataFrame({"query_id": [key[0]], "chunk": [key[1]], "chains": [len(found)], "best_length": [-length], "gap_error": [error], "gap_mad": [mad], "skips": [skips]})
+        return pd.DataFrame({"query_id": [key[0]], "chunk": [key[1]], "chains": [count], "best_length": [len(best)], "gap_error": [error], "gap_mad": [mad], "skips": [skips]})
 
     return hits.groupBy("query_id", "chunk").applyInPandas(run, "query_id bigint, chunk bigint, chains bigint, best_length bigint, gap_error bigint, gap_mad double, skips bigint")
 

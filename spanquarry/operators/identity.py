@@ -1,15 +1,19 @@
 """Digests that identify corpora, results and index tables; Merkle commitments and proofs; evidence.
 
-An identity over many documents is made of one small record a document. The records of a corpus are hashed
-in runs of ``RUN`` documents where they stand, and the run digests in order of the first id, so no task holds
-more than one run's records and the digest does not depend on partitions.
+An identity over many documents is SHA-256 of one small record a document in order. The format fixes one hash
+over all of them, so the records (some 50 bytes a document) pass through one task at the end, which sorts them with
+spilling and hashes them as they stream by, never held together. ``large_corpus_identity`` is the form without that task: runs of ``RUN``
+documents are hashed where they stand, and runs of runs in turn, so the digest depends neither on partitions
+nor on the size of any task.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +26,27 @@ CORPUS_TAG, MANIFEST_TAG, INDEX_TAG, RESULT_TAG = (bytearray(f"{name}_IDENTITY_V
 LEAF, NODE = b"\x00", b"\x01"
 
 
+def _streamed(records: DataFrame, head: Column, order: list[str], separator: bytes = b"") -> DataFrame:
+    """One row ``identity``: SHA-256 of ``head`` (of the count ``n``) and the records ``rec`` in order, which stream through one task."""
+    total = records.agg(F.count(F.lit(1)).alias("n")).select(head.alias("rec"))
+    begin = total.select(F.lit(0).alias("level"), *(F.lit(None).cast(records.schema[c].dataType).alias(c) for c in order), "rec")
+    rows = begin.unionByName(records.select(F.lit(1).alias("level"), *order, "rec")).repartition(1).sortWithinPartitions("level", *order, "rec")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, seen = hashlib.sha256(), 0
+        for batch in batches:
+            for rec in batch.column(0):
+                digest.update((separator if seen > 1 else b"") + rec.as_py())
+                seen += 1
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], names=["identity"])
+
+    return rows.select("rec").mapInArrow(run, "identity string")
+
+
 def _folded(records: DataFrame, tag: bytearray) -> DataFrame:
     """One row ``identity`` of (id, rec): SHA-256 of the tag, the count and all records in order of id."""
-    total = records.agg(F.count(F.lit(1)).alias("n"))
-    ordered = records.agg(F.array_sort(F.collect_list(F.struct("id", "rec"))).alias("r"))
-    body = F.aggregate("r", F.lit(bytearray(b"")), lambda a, x: F.concat(a, x["rec"]))
-    return ordered.join(total, F.lit(True)).select(F.sha2(F.concat(F.lit(tag), u64be(F.col("n")), body), 256).alias("identity"))
+    return _streamed(records, F.concat(F.lit(tag), u64be(F.col("n"))), ["id"])
 
 
 def _document(path: bool) -> Column:
@@ -46,11 +65,14 @@ def manifest_identity(corpus: DataFrame) -> DataFrame:
 
 
 def large_corpus_identity(corpus: DataFrame, run: int = RUN) -> DataFrame:
-    """An identity over any number of documents, in two levels of ``run`` documents each."""
-    records = corpus.select(F.floor(F.col("doc_id") / run).alias("g"), F.col("doc_id").alias("id"), _document(False).alias("rec"))
-    body = F.aggregate(F.array_sort(F.collect_list(F.struct("id", "rec"))), F.lit(bytearray(b"")), lambda a, x: F.concat(a, x["rec"]))
-    runs = records.groupBy("g").agg(F.unhex(F.sha2(body, 256)).alias("rec"))
-    return _folded(runs.select(F.col("g").alias("id"), "rec"), CORPUS_TAG)
+    """An identity over any number of documents: runs of ``run`` ids, and runs of as many runs, until one is left."""
+    level = corpus.select(F.col("doc_id").alias("id"), _document(False).alias("rec"))
+    top = corpus.agg(F.max("doc_id").alias("m")).first()["m"] or 0
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "rec"))), lambda x: F.concat(F.hex(x["id"]), F.lit(":"), F.hex(x["rec"]))), ",")
+    while top > 0:
+        level = level.groupBy(F.floor(F.col("id") / run).alias("g")).agg(F.unhex(F.sha2(body, 256)).alias("rec")).select(F.col("g").alias("id"), "rec")
+        top //= run
+    return _folded(level, CORPUS_TAG)
 
 
 def index_identity(tables: dict[str, DataFrame], parameters: str) -> DataFrame:
@@ -181,8 +203,9 @@ def check_bundle(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def bundle_root(manifest: DataFrame) -> DataFrame:
     """One row ``root`` over an inventory in order of name."""
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "length", "sha256"))), lambda x: F.concat(x["name"], F.lit(" "), x["length"].cast("string"), F.lit(" "), x["sha256"])), "\n")
-    return manifest.agg(F.sha2(F.concat(F.lit("BUNDLE_V1\n"), lines), 256).alias("root"))
+    line = F.concat("name", F.lit(" "), F.col("length").cast("string"), F.lit(" "), "sha256")
+    rows = manifest.select("name", "length", "sha256", F.encode(line, "UTF-8").alias("rec"))
+    return _streamed(rows, F.lit(bytearray(b"BUNDLE_V1\n")), ["name", "length", "sha256"], b"\n").withColumnRenamed("identity", "root")
 
 
 def capabilities(spark: SparkSession) -> dict[str, str]:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from spanquarry.functions.binary import byte_at
 
 SENTINEL = 256
+MOST_BYTES = 4 << 20
 
 
 def suffixes(corpus: DataFrame) -> DataFrame:
@@ -107,6 +108,111 @@ def intervals(table: DataFrame, corpus: DataFrame, patterns: DataFrame) -> DataF
     return rows.filter(starts).groupBy("query_id", "doc_id").agg(F.min("sa_row").alias("l"), (F.max("sa_row") + 1).alias("r"))
 
 
+class Runs:
+    """Rank and LF over the runs of one document's BWT, by prefix sums at the runs' beginnings."""
+
+    def __init__(self, symbols: np.ndarray, lengths: np.ndarray):
+        self.start = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        order = np.where(symbols == SENTINEL, -1, symbols)
+        self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # symbol: its runs, and how many of it are before each
+        self.first: dict[int, int] = {}  # symbol: symbols that are lower
+        self.step = np.zeros(len(symbols), dtype=np.int64)  # the row that the first row of a run leads to
+        below = 0
+        for symbol in np.unique(order).tolist():
+            which = np.flatnonzero(order == symbol)
+            before = np.concatenate([[0], np.cumsum(lengths[which])])
+            self.of[symbol], self.first[symbol] = (which, before), below
+            self.step[which] = below + before[:-1]
+            below += int(before[-1])
+
+    def rank(self, symbol: int, row: int) -> int:
+        """Occurrences of a symbol in the rows before ``row``."""
+        if symbol not in self.of:
+            return 0
+        which, before = self.of[symbol]
+        k = int(np.searchsorted(self.start[which], row))
+        inside = min(row, int(self.start[which[k - 1] + 1])) - int(self.start[which[k - 1]]) if k else 0
+        return int(before[k - 1]) + inside if k else 0
+
+    def search(self, pattern: bytes) -> tuple[int, int]:
+        """The rows [l, r) of the suffixes that begin with the pattern, a byte at a time from its end."""
+        l, r = 0, int(self.start[-1])
+        for b in reversed(pattern):
+            if b not in self.first:
+                return 0, 0
+            l, r = self.first[b] + self.rank(b, l), self.first[b] + self.rank(b, r)
+            if l >= r:
+                return 0, 0
+        return l, r
+
+    def walk(self, rows: np.ndarray, sampled: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets of rows and the steps to the nearest sampled row before them in the text; row of offset 0 ends a walk."""
+        known = np.array(sorted(sampled), dtype=np.int64)
+        value = np.array([sampled[k] for k in known.tolist()], dtype=np.int64)
+        origin = int(self.start[self.of[-1][0][0]])
+        at, steps, base = rows.copy(), np.zeros(len(rows), dtype=np.int64), np.full(len(rows), -1, dtype=np.int64)
+        open_ = np.arange(len(rows))
+        while len(open_):
+            now = at[open_]
+            place = np.minimum(np.searchsorted(known, now), max(len(known) - 1, 0))
+            hit = (known[place] == now) if len(known) else np.zeros(len(now), dtype=bool)
+            base[open_[hit]] = value[place[hit]]
+            begin = ~hit & (now == origin)
+            base[open_[begin]] = 0
+            open_, now = open_[~hit & ~begin], now[~hit & ~begin]
+            run = np.searchsorted(self.start, now, side="right") - 1
+            at[open_] = self.step[run] + now - self.start[run]
+            steps[open_] += 1
+        return base + steps, steps
+
+
+def _few(patterns: DataFrame) -> list[tuple]:
+    """The patterns on the driver; they are the small side, of a checked size."""
+    good = patterns.filter(F.length("pattern") > 0).select("query_id", "pattern")
+    if (good.agg(F.sum(F.length("pattern") + 64).alias("n")).first()["n"] or 0) > MOST_BYTES:
+        raise ValueError("TOO_MANY_PATTERNS")
+    return [(r["query_id"], bytes(r["pattern"])) for r in good.collect()]
+
+
+def backward_search(runs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(query_id, doc_id, l, r) by backward search over the run-length BWT (doc_id, run_id, symbol, length)."""
+    wanted = runs.sparkSession.sparkContext.broadcast(_few(patterns))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("run_id")
+        index = Runs(table.column("symbol").to_numpy(), table.column("length").to_numpy())
+        doc = table.column("doc_id")[0].as_py()
+        found = [(q, doc, *index.search(p)) for q, p in wanted.value]
+        found = [f for f in found if f[3] > f[2]]
+        return pa.table({c: pa.array([f[k] for f in found], pa.int64()) for k, c in enumerate(("query_id", "doc_id", "l", "r"))})
+
+    return runs.groupBy("doc_id").applyInArrow(run, "query_id bigint, doc_id bigint, l bigint, r bigint")
+
+
+def walk(runs: DataFrame, samples: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc_id, sa_row, off, steps) of ``rows`` (doc_id, sa_row) by LF steps to rows of ``samples`` (doc_id, sa_row, off).
+
+    Only the runs and the samples are read: no other offset is stored.
+    """
+    both = samples.select("doc_id", "sa_row", "off").unionByName(rows.select("doc_id", "sa_row", F.lit(None).cast("bigint").alias("off")))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ("doc_id", "sa_row", "off", "steps")
+        if not left.num_rows or not right.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in names})
+        left = left.sort_by("run_id")
+        index = Runs(left.column("symbol").to_numpy(), left.column("length").to_numpy())
+        off = right.column("off").combine_chunks()
+        at = right.column("sa_row").to_numpy()
+        kept = off.is_valid().to_numpy(zero_copy_only=False)
+        sampled = dict(zip(at[kept].tolist(), off.drop_null().to_pylist(), strict=True))
+        offsets, steps = index.walk(at[~kept], sampled)
+        doc = left.column("doc_id")[0].as_py()
+        return pa.table({"doc_id": pa.array([doc] * len(steps), pa.int64()), "sa_row": pa.array(at[~kept]), "off": pa.array(offsets), "steps": pa.array(steps)})
+
+    return runs.groupBy("doc_id").cogroup(both.groupBy("doc_id")).applyInArrow(run, "doc_id bigint, sa_row bigint, off bigint, steps bigint")
+
+
 def jumps(table: DataFrame, distance: int) -> DataFrame:
     """(doc_id, sa_row, to_row): the row of the suffix ``distance`` bytes later; null beyond the end."""
     later = table.select(F.col("doc_id"), (F.col("off") - distance).alias("off"), F.col("sa_row").alias("to_row"))

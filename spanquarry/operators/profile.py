@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanquarry.functions.binary import byte_array
 from spanquarry.operators.signatures import grams
 from spanquarry.sources.corpus import chunks
+from spanquarry.sources.shared import saved
 
 KB64, KB900, MB4 = 64 * 1024, 900 * 1024, 4 * 1024 * 1024
 
@@ -45,11 +45,19 @@ def byte_profile(corpus: DataFrame, top: int = 16) -> DataFrame:
 
 def chunk_entropy(corpus: DataFrame, size: int) -> DataFrame:
     """(doc_id, chunks, mean, least, most, range, first) of the chunks' entropies."""
-    counts = chunks(corpus, size).select("doc_id", "chunk_no", F.explode(byte_array(F.col("raw"))).alias("byte")).groupBy("doc_id", "chunk_no", "byte").agg(F.count(F.lit(1)).alias("n"))
-    # entropy from counts alone: log2(total) - sum(n log2 n) / total
-    total = F.sum("n")
-    e = counts.groupBy("doc_id", "chunk_no").agg(F.round(F.abs(F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total), 6).alias("e"))
-    first = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("chunk_no", "e"))), 1, 16), lambda x: x["e"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for raw in batch.column(2):
+                n = np.bincount(np.frombuffer(raw.as_buffer(), dtype=np.uint8))
+                n = n[n > 0]
+                # entropy from counts alone: log2(total) - sum(n log2 n) / total
+                found.append(abs(float(np.log2(n.sum()) - (n * np.log2(n)).sum() / n.sum())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["doc_id", "chunk_no", "e"])
+
+    e = chunks(corpus, size).select("doc_id", "chunk_no", "raw").mapInArrow(run, "doc_id bigint, chunk_no bigint, e double").withColumn("e", F.round("e", 6))
+    first = F.transform(F.array_sort(F.collect_list(F.when(F.col("chunk_no") < 16, F.struct("chunk_no", "e")))), lambda x: x["e"])
     return e.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg("e"), 6).alias("mean"), F.min("e").alias("least"), F.max("e").alias("most"), F.round(F.max("e") - F.min("e"), 6).alias("range"), first.alias("first"))
 
 
@@ -77,19 +85,19 @@ def full_distance_profile(corpus: DataFrame, k: int, stride: int = 32, most: int
         F.sum("f").alias("sampled"), F.count(F.lit(1)).alias("unique"), F.count(F.when(F.col("f") >= 2, 1)).alias("repeated"), F.count(F.when(useful, 1)).alias("useful"),
         F.round(F.coalesce(F.sum(F.when(F.col("f") >= 2, F.col("f"))), F.lit(0)) / F.sum("f"), 6).alias("repeated_share"),
     )
-    d = _distances(corpus, k, stride).filter("distance IS NOT NULL")
+    d = saved(_distances(corpus, k, stride).filter("distance IS NOT NULL"), "distances")
     far = [(name, F.col("distance") > limit) for name, limit in (("far900k", KB900), ("far4m", MB4))] + [("near64k", F.col("distance") <= KB64)]
     ok = F.col("f") <= most
-    pairs = d.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("pairs"), nearest_rank(F.collect_list("distance"), 0.5).alias("p50"), nearest_rank(F.collect_list("distance"), 0.9).alias("p90"),
-        nearest_rank(F.collect_list(F.when(ok, F.col("distance"))), 0.99).alias("useful_p99"), *(F.round(F.avg(c.cast("double")), 6).alias(n) for n, c in far),
-    )
-    return keys.join(pairs, "doc_id", "left")
+    pairs = d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"), *(F.round(F.avg(c.cast("double")), 6).alias(n) for n, c in far))
+    every = values_at(d, ["doc_id"], "distance", {"p50": nearest_place(0.5), "p90": nearest_place(0.9)}).drop("least", "most")
+    some = values_at(d.filter(ok), ["doc_id"], "distance", {"useful_p99": nearest_place(0.99)}).drop("least", "most")
+    found = pairs.join(every, "doc_id").join(some, "doc_id", "left")
+    return keys.join(found.select("doc_id", "pairs", "p50", "p90", "useful_p99", *(n for n, _ in far)), "doc_id", "left")
 
 
 def sampled_distances(corpus: DataFrame, length: int, share: int) -> DataFrame:
     """(doc_id, sig, distance) of patterns picked by hash, one in ``share``: the same at any layout."""
-    g = grams(corpus, length, 1, ("doc_id",), "content").filter(F.pmod(F.crc32("sig"), F.lit(share)) == 0)
+    g = grams(corpus, length, 1, ("doc_id",), "content").filter(F.conv(F.substring(F.md5("sig"), 1, 4), 16, 10).cast("int") % share == 0)
     lead = F.lead("pos").over(Window.partitionBy("doc_id", "sig").orderBy("pos"))
     return g.withColumn("distance", lead - F.col("pos")).filter("distance IS NOT NULL").select("doc_id", "sig", "distance")
 
@@ -180,9 +188,28 @@ def parameters(size: Column) -> Column:
     return F.when(mib >= 5, F.struct(F.lit(4).alias("versions"), version.alias("version_mib"), version.alias("nonoverlap_shift_mib"), shift.alias("overlap_shift_mib")))
 
 
+def values_at(table: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """(*keys, each place): the value at a 0-based place, a column of the number ``n``, of a key's ordered values.
+
+    Equal values are counted first, so a key costs its distinct values and no list is made.
+    """
+    counts = table.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    along = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumn("reach", F.sum("c").over(along)).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
+    return placed.groupBy(*keys).agg(*(F.min(F.when(F.col("reach") > at, F.col(value))).alias(name) for name, at in places.items()), F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+def nearest_place(q: float) -> Column:
+    return F.bround((F.col("n") - 1) * F.lit(q), 0)
+
+
+def floor_place(q: float) -> Column:
+    return F.floor((F.col("n") - 1) * F.lit(q))
+
+
 def repeatability(samples: DataFrame) -> DataFrame:
     """(name, p50, p95, p99, verdict) of repeated measurements (name, value)."""
-    v = samples.groupBy("name").agg(F.collect_list("value").alias("v"))
-    ratio = F.array_max("v") / F.array_min("v")
+    v = values_at(samples, ["name"], "value", {"p50": floor_place(0.5), "p95": floor_place(0.95), "p99": floor_place(0.99)})
+    ratio = F.col("most") / F.col("least")
     verdict = F.when(ratio < 1.5, "LAW_CONFIRMED").when(ratio < 2.0, "LIKELY_STABLE").otherwise("UNSTABLE_INVESTIGATE")  # fixed values
-    return v.select("name", floor_rank(F.col("v"), 0.5).alias("p50"), floor_rank(F.col("v"), 0.95).alias("p95"), floor_rank(F.col("v"), 0.99).alias("p99"), verdict.alias("verdict"))
+    return v.select("name", "p50", "p95", "p99", verdict.alias("verdict"))

@@ -19,7 +19,9 @@ from spanquarry.plans import retrieval_queries as Q
 from spanquarry.plans import tables as T
 from spanquarry.plans.engine import Collection
 from spanquarry.plans.registry import query
+from spanquarry.plans.service import asked
 from spanquarry.sources import corpus
+from spanquarry.sources.shared import Scratch, saved
 
 
 def _candidates(spark, d):
@@ -49,14 +51,17 @@ def _counts(spark, d):
     return R.fragment_counts(_candidates(spark, d), Q.chunks(spark, d), Q.fragments(spark, d), False)
 
 
-@query()
+REST = COUNTS[COUNTS.index("WITH ") + 5 :].replace(Q.FR + ", ", "", 1)
+
+
+@query(Q.CHAIN + Q.BEST_CHAIN + ", " + REST + ", hs AS (SELECT query_id, chunk, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS k FROM (SELECT query_id, chunk, count(*)::DOUBLE AS score FROM fh GROUP BY ALL)) WHERE k <= 16), ly AS (SELECT query_id, chunk, coalesce(best_length, 0) AS best_length, CASE WHEN best_length > 0 THEN gap_error ELSE 1000000000 END AS gap_error, CASE WHEN best_length > 0 THEN gap_mad ELSE 1e9::DOUBLE END AS gap_mad, present, total, coalesce(chains, 0) AS chains, coalesce(score, 0.0::DOUBLE) AS score FROM cn LEFT JOIN cn0 USING (query_id, chunk) LEFT JOIN hs USING (query_id, chunk))" + ranked("ly", "best_length, gap_error, gap_mad, present, total, chains, score", "best_length DESC, gap_error, gap_mad, present DESC, total DESC, chains, score DESC"))
 def r3_layout_rerank(spark, d):
     chains = J.chains(Q.fragment_hits(spark, d), 5, distance=32, tolerance=4)
     scores = C.histogram(Q.fragment_hits(spark, d), F.lit(1.0), Q.TOP)
     return R.layout(chains, _counts(spark, d), scores)
 
 
-@query()
+@query(Q.GREEDY + Q.BEST_CHAIN + ", " + REST + ", gl AS (SELECT query_id, chunk, coalesce(best_length, 0) AS best_length, greatest(coalesce(best_length, 0) - 1, 0) AS pairs, coalesce(skips, 0) AS skips, coalesce(gap_error, 0) AS gap_error, present, total FROM cn LEFT JOIN cn0 USING (query_id, chunk))" + ranked("gl", "best_length, pairs, skips, gap_error, present, total", "best_length DESC, pairs DESC, skips DESC, gap_error, present DESC, total DESC"))
 def r4_gap_layout_rerank(spark, d):
     return R.gap_layout(J.chains(Q.fragment_hits(spark, d), 5, greedy=True, distance=32, tolerance=4), _counts(spark, d))
 
@@ -196,7 +201,7 @@ def k5_distance_profile(spark, d):
     return K.full_distance_profile(_pages(spark, d), 8)
 
 
-@query()
+@query("WITH g AS (SELECT page_id AS doc_id, pos, substr(hx, 2*pos+1, 48) AS sig FROM (SELECT page_id, lower(hex(encode(html))) AS hx, unnest(range(0, strlen(html) - 23))::BIGINT AS pos FROM pages)), k AS (SELECT * FROM g WHERE ('0x' || substr(md5(unhex(sig)), 1, 4))::INT % 16 = 0) SELECT doc_id, sig, distance FROM (SELECT doc_id, sig, lead(pos) OVER (PARTITION BY doc_id, sig ORDER BY pos) - pos AS distance FROM k) WHERE distance IS NOT NULL")
 def k6_sampled_distances(spark, d):
     return K.sampled_distances(_pages(spark, d), 24, 16).withColumn("sig", F.lower(F.hex("sig")))
 
@@ -219,18 +224,19 @@ def k9_duplicate_blocks(spark, d):
     return K.duplicate_blocks(T.documents(spark, d), 512)
 
 
-def _lists(spark, d):
-    return T.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.collect_list(F.col("l_extendedprice").cast("double")).alias("v"))
+def _prices(spark, d, place):
+    t = T.table(spark, d, "lineitem").select("l_suppkey", F.col("l_extendedprice").cast("double").alias("v"))
+    return K.values_at(t, ["l_suppkey"], "v", {"p90": place}).select("l_suppkey", "p90")
 
 
 @query("SELECT l_suppkey, (list(l_extendedprice::DOUBLE ORDER BY l_extendedprice))[round_even((count(*)-1)*0.9, 0)::BIGINT+1] AS p90 FROM lineitem GROUP BY ALL")
 def k10_percentile_nearest(spark, d):
-    return _lists(spark, d).select("l_suppkey", K.nearest_rank(F.col("v"), 0.9).alias("p90"))
+    return _prices(spark, d, K.nearest_place(0.9))
 
 
 @query("SELECT l_suppkey, (list(l_extendedprice::DOUBLE ORDER BY l_extendedprice))[floor((count(*)-1)*0.9)::BIGINT+1] AS p90 FROM lineitem GROUP BY ALL")
 def k10b_percentile_floor(spark, d):
-    return _lists(spark, d).select("l_suppkey", K.floor_rank(F.col("v"), 0.9).alias("p90"))
+    return _prices(spark, d, K.floor_place(0.9))
 
 
 @query("SELECT l_suppkey, round(quantile_cont(l_extendedprice::DOUBLE, 0.9), 6) AS p90 FROM lineitem GROUP BY ALL")
@@ -288,6 +294,7 @@ def _features(spark, d):
 
 @query()
 def l1_features(spark, d):
+    """By candidate: the hybrid's, the overlap's and the gap support's figures with the truth."""
     return _features(spark, d)
 
 
@@ -375,10 +382,13 @@ def v9_evidence(spark, d):
     return V.evidence(docs, pats, M.locate(docs, pats)).drop("context")
 
 
-@query("SELECT 0::BIGINT AS problems")
+@query(T.LOCATE + "SELECT query_id, doc_id, doc_offset, 'fresh' AS side FROM occ WHERE doc_id % 10 < 2 UNION ALL SELECT query_id, doc_id, doc_offset, 'kept' FROM occ WHERE doc_id % 10 = 0")
 def v9_evidence_replay(spark, d):
+    """Evidence in which every tenth document's bytes are others and every tenth document is missing."""
     docs, pats = T.documents(spark, d), T.patterns(spark, d)
-    return V.replay(docs, pats, V.evidence(docs, pats, M.locate(docs, pats))).agg(F.count(F.lit(1)).alias("problems"))
+    kept = saved(V.evidence(docs, pats, M.locate(docs, pats)), "evidence").filter("doc_id % 10 <> 1")
+    kept = kept.withColumn("observed_hex", F.when(F.col("doc_id") % 10 == 0, F.lit("00")).otherwise(F.col("observed_hex")))
+    return V.replay(docs, pats, kept).select("query_id", "doc_id", "doc_offset", "side")
 
 
 @query(T.LOCATE + "SELECT query_id, count(*) AS verified_offsets, count(DISTINCT doc_id) AS documents FROM occ GROUP BY ALL")
@@ -416,12 +426,21 @@ def v13_bundle_root(spark, d):
     return V.bundle_root(V.inventory(files))
 
 
-@query("SELECT 0::BIGINT AS problems")
+@query("SELECT doc_id FROM documents WHERE doc_id % 10 = 0")
 def v15_fingerprint_replay(spark, d):
-    """Profiles computed twice, over other partitions, agree."""
+    """Profiles computed twice, the second time over other partitions and with a byte more in every tenth document."""
     docs = T.documents(spark, d)
-    one, two = K.byte_profile(docs), K.byte_profile(docs.repartition(7, "content"))
-    return one.exceptAll(two).unionByName(two.exceptAll(one)).agg(F.count(F.lit(1)).alias("problems"))
+    changed = docs.withColumn("content", F.when(F.col("doc_id") % 10 == 0, F.concat("content", F.lit(bytearray(b"x")))).otherwise(F.col("content")))
+    one, two = K.byte_profile(docs), K.byte_profile(changed.repartition(7, "content"))
+    return one.exceptAll(two).unionByName(two.exceptAll(one)).select("doc_id").distinct()
+
+
+@query(folded_sql("CORPUS_IDENTITY_V1", f"{u64('doc_id')} || {u64('strlen(text)')} || sha256(text)").replace("AS identity FROM documents", "AS identity, (SELECT sum((len(text) - len(replace(text, 'the', '')))//3)::BIGINT FROM documents) AS rows, 0::BIGINT AS problems, 0::BIGINT AS changed, true AS complete FROM documents"))
+def v16_workflow(spark, d):
+    """Snapshot, query, evidence and replay, all written and read back."""
+    c = Collection.from_table(T.table(spark, d, "documents"), "doc_id", "text")
+    done = c.run([b"the".hex()], Scratch(spark, "workflow").root)
+    return spark.createDataFrame([done], "identity string, rows bigint, problems bigint, changed bigint, complete boolean")
 
 
 @query()
@@ -438,6 +457,22 @@ def w1_line_queries(spark, d):
     return c.query(HEXES).select("query_id", "hex", "status", "match_count")
 
 
+@query("WITH p AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{bytes.fromhex(h).decode()}')" for i, h in enumerate(HEXES[:5])) + ") v(query_id, p)), c AS (SELECT query_id, sum((len(text) - len(replace(text, p, '')))//len(p))::BIGINT AS m FROM documents JOIN p ON contains(text, p) GROUP BY ALL) SELECT query_id, coalesce(m, 0) AS match_count, least(coalesce(m, 0), 100) AS returned_count FROM p LEFT JOIN c USING (query_id)")
+def w2_http_queries(spark, d):
+    """The batch route of the service, asked over HTTP; answered with the served counts."""
+    c = Collection.from_table(T.table(spark, d, "documents"), "doc_id", "text")
+    found = asked(c, "/query_batch", {"queries": [{"hex": h} for h in HEXES[:5]]})["results"]
+    return spark.createDataFrame([(r["query_id"], r["match_count"], r["returned_count"]) for r in found], "query_id bigint, match_count bigint, returned_count bigint")
+
+
+@query("WITH p AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{bytes.fromhex(h).decode()}')" for i, h in enumerate(HEXES[:5])) + ") v(query_id, p)), d AS (SELECT doc_id, text FROM documents), " + T.OCC.replace("JOIN pat", "JOIN p AS pat") + " SELECT doc_id*1048576 + doc_offset//16384 AS chunk, count(*) AS n FROM occ GROUP BY ALL ORDER BY n DESC, chunk LIMIT 16")
+def w6_http_histogram(spark, d):
+    """The service's histogram route: the sixteen chunks with most occurrences."""
+    c = Collection.from_table(T.table(spark, d, "documents"), "doc_id", "text")
+    found = asked(c, "/histogram", {"queries": [{"hex": h} for h in HEXES[:5]], "most": 16})["chunks"]
+    return spark.createDataFrame([tuple(r) for r in found], "chunk bigint, n bigint")
+
+
 @query("WITH p AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{bytes.fromhex(h).decode()}')" for i, h in enumerate(HEXES[:5])) + ") v(query_id, p)), d AS (SELECT doc_id, text FROM documents), " + T.OCC.replace("JOIN pat", "JOIN p AS pat") + " SELECT query_id, doc_id, doc_offset FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id, doc_offset) AS r FROM occ) WHERE r <= 100")
 def w4_bounded_locate(spark, d):
     return Collection.from_table(T.table(spark, d, "documents"), "doc_id", "text").locate(HEXES, 100)

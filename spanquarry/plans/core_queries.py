@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+
 from pyspark.sql import functions as F
 
 from spanquarry.functions import binary as B
@@ -10,6 +13,7 @@ from spanquarry.operators import match as M
 from spanquarry.plans import tables as T
 from spanquarry.plans.registry import query
 from spanquarry.sources import containers, corpus
+from spanquarry.sources.shared import saved
 
 RECORD = "SELECT doc_id, lower(hex(encode(printf('doc_%08d.bin', doc_id)))) AS relative_path_bytes_hex, 'regular' AS document_type, strlen(text)::BIGINT AS byte_length, sha256(text) AS sha256, printf('documents/doc_%08d.bin', doc_id) AS snapshot_path FROM documents"
 
@@ -21,7 +25,8 @@ def s1_document_snapshot(spark, d):
 
 @query()
 def s1_directory_scan(spark, d):
-    files = corpus.from_directory(spark, f"{d}/region.parquet")
+    """The tables' own folder, as a tree of files."""
+    files = corpus.from_directory(spark, d)
     return files.select("doc_id", B.display_path(F.col("path")).alias("path"), "byte_length", F.sha2("content", 256).alias("sha256"))
 
 
@@ -91,7 +96,8 @@ def s11_symbol_corpus(spark, d):
 
 
 def _saved_suffixes(spark, d):
-    return X.suffixes(T.items(spark, d))
+    """The suffix table, written to the shared folder and read back."""
+    return saved(X.suffixes(T.items(spark, d)), "suffixes")
 
 
 @query(f"WITH {T.SUF} SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS documents, sum(off)::BIGINT AS offsets, sum(bwt*sa_row)::BIGINT AS weighted FROM sfx")
@@ -144,6 +150,32 @@ def s21_text_queries(spark, d):
     return corpus.text_queries(T.table(spark, d, "conversations"), "text")
 
 
+@query("SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'EMPTY_QUERY' ELSE lower(hex(encode(text))) END AS hex FROM benchmark")
+def s22_stable_queries(spark, d):
+    """Every item as a query file of its own, each read twice; every fifth file is empty."""
+    with tempfile.TemporaryDirectory() as folder:  # query files are the driver's own input
+        rows = []
+        for r in T.table(spark, d, "benchmark").select("item_id", "text").toLocalIterator():
+            path = f"{folder}/{r['item_id']}"
+            with open(path, "wb") as f:
+                f.write(b"" if r["item_id"] % 5 == 0 else r["text"].encode())
+            try:
+                rows.append((r["item_id"], corpus.stable_pattern(path).hex()))
+            except ValueError as e:
+                rows.append((r["item_id"], str(e)))
+    return spark.createDataFrame(rows, "item_id bigint, hex string")
+
+
+@query("SELECT 'item-' || item_id AS name, strlen(text)::BIGINT AS size, sha256(text) AS sha256 FROM benchmark")
+def s25_deterministic_archive(spark, d):
+    """All items in one archive, listed from what was packed; a second packing in another order gives the same bytes."""
+    files = {f"item-{r['item_id']}": r["text"].encode() for r in T.table(spark, d, "benchmark").select("item_id", "text").toLocalIterator()}
+    blob = containers.deterministic_tar(files)
+    if blob != containers.deterministic_tar(dict(reversed(files.items()))):
+        raise ValueError("ARCHIVE_DIFFERS")
+    return spark.createDataFrame([(n, len(c), hashlib.sha256(c).hexdigest()) for n, c in containers.read_tar(blob).items()], "name string, size bigint, sha256 string")
+
+
 @query("""WITH d AS (SELECT doc_id, lower(hex(encode(text))) AS hx, strlen(text) AS n FROM documents),
 v AS (SELECT *, unnest(range(CASE WHEN n <= 4096 THEN 1 ELSE (n - 4096 + 2047) // 2048 + 1 END))::BIGINT AS version FROM d)
 SELECT doc_id, version, version*2048 AS start, md5(unhex(hex(encode(printf('[[BEGIN %d:%d]]' || chr(10), doc_id, version))) || substr(hx, version*4096+1, 8192) || hex(encode(printf(chr(10) || '[[END %d:%d]]' || chr(10), doc_id, version))))) AS md5 FROM v""")
@@ -176,10 +208,15 @@ def x2_suffix_array_arrow(spark, d):
     return X.suffixes_long(T.items(spark, d)).select("doc_id", "sa_row", "off")
 
 
-@query("SELECT 0::BIGINT AS violations")
+@query("SELECT item_id AS doc_id, CASE WHEN item_id % 3 = 0 THEN 1 ELSE 3 END AS sa_row FROM benchmark WHERE item_id % 3 < 2 AND strlen(text) >= 3")
 def x3_suffix_order_check(spark, d):
+    """Tables in which every third document has an offset beyond its end and the next two rows exchanged."""
     docs = T.items(spark, d)
-    return X.order_violations(X.suffixes_long(docs), docs).agg(F.count(F.lit(1)).alias("violations"))
+    k, row = F.col("doc_id") % 3, F.col("sa_row")
+    table = X.suffixes_long(docs.filter(F.length("content") >= 3))
+    moved = F.when((k == 1) & (row == 2), 3).when((k == 1) & (row == 3), 2).otherwise(row)
+    bad = table.withColumn("sa_row", moved.cast("bigint")).withColumn("off", F.when((k == 0) & (row == 1), 1 << 30).otherwise(F.col("off")).cast("bigint"))
+    return X.order_violations(bad, docs)
 
 
 @query(SFX + "SELECT doc_id, sa_row, bwt FROM sfx")
@@ -193,10 +230,12 @@ def x5_bwt_byte_sentinel(spark, d):
     return X.suffixes(T.items(spark, d)).select("doc_id", "sa_row", F.when(F.col("bwt") == X.SENTINEL, 0).otherwise(F.col("bwt")).alias("bwt"))
 
 
-@query("SELECT 0::BIGINT AS violations")
+@query("SELECT item_id AS doc_id, unnest(range(0, strlen(text) + 1, 5))::BIGINT AS sa_row FROM benchmark WHERE item_id % 2 = 0")
 def x6_bwt_validation(spark, d):
+    """Tables in which every fifth symbol of every second document is another one."""
     docs = T.items(spark, d)
-    return X.bwt_violations(X.suffixes_long(docs), docs).agg(F.count(F.lit(1)).alias("violations"))
+    wrong = (F.col("doc_id") % 2 == 0) & (F.col("sa_row") % 5 == 0)
+    return X.bwt_violations(X.suffixes_long(docs).withColumn("bwt", F.when(wrong, F.col("bwt") + 1).otherwise(F.col("bwt"))), docs)
 
 
 @query(SFX + ", c AS (SELECT doc_id, bwt AS symbol, count(*) AS n FROM sfx GROUP BY ALL) SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY CASE WHEN symbol = 256 THEN -1 ELSE symbol END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c FROM c")
@@ -282,8 +321,8 @@ INTERVALS = SFX + f", {T.SHORT}, iv AS (SELECT query_id::BIGINT AS query_id, doc
 
 @query(INTERVALS + "SELECT * FROM iv")
 def p4_suffix_interval(spark, d):
-    docs = T.items(spark, d)
-    return X.intervals(X.suffixes(docs), docs, T.short_patterns(spark))
+    """By backward search over the run-length BWT."""
+    return X.backward_search(X.run_lengths(X.suffixes(T.items(spark, d))), T.short_patterns(spark))
 
 
 @query(T.LOCATE + "SELECT query_id, doc_id, count(*) AS match_count FROM occ GROUP BY ALL")
@@ -325,8 +364,9 @@ def p10_locate_summary(spark, d):
 
 @query(SFX + ", m AS (SELECT doc_id, sa_row, off, max(CASE WHEN sa_row % 8 = 0 THEN off END) OVER (PARTITION BY doc_id ORDER BY off) AS base FROM sfx) SELECT doc_id, sa_row, off, off - coalesce(base, 0) AS steps FROM m")
 def p11_sampled_locate(spark, d):
-    table = X.suffixes(T.items(spark, d))
-    return X.sampled_locate(table, table.select("doc_id", "sa_row"), 8)
+    """Every row's offset by LF steps to a kept row; the other offsets are not read."""
+    table = _saved_suffixes(spark, d)
+    return X.walk(X.run_lengths(table.drop("off")), table.filter("sa_row % 8 = 0"), table)
 
 
 @query(INTERVALS + "SELECT iv.query_id, iv.doc_id, off AS doc_offset FROM iv JOIN sfx ON iv.doc_id = sfx.doc_id AND sa_row >= l AND sa_row < r")
@@ -339,11 +379,19 @@ def p12_locate_from_rows(spark, d):
 
 @query(INTERVALS + "SELECT query_id, doc_id, r - l AS match_count FROM iv")
 def p13_count_run_lengths(spark, d):
-    """Counts from the interval over a suffix table whose BWT went through run lengths (p13, p14)."""
-    docs = T.items(spark, d)
-    table = X.suffixes(docs)
-    back = X.expand_runs(X.run_lengths(table)).join(table.drop("bwt"), ["doc_id", "sa_row"])
-    return X.intervals(back, docs, T.short_patterns(spark)).select("query_id", "doc_id", (F.col("r") - F.col("l")).alias("match_count"))
+    """Counts from run lengths alone."""
+    runs = saved(X.run_lengths(X.suffixes(T.items(spark, d))), "runs")
+    return X.backward_search(runs, T.short_patterns(spark)).select("query_id", "doc_id", (F.col("r") - F.col("l")).alias("match_count"))
+
+
+@query(INTERVALS + "SELECT iv.query_id, iv.doc_id, off AS doc_offset FROM iv JOIN sfx ON iv.doc_id = sfx.doc_id AND sa_row >= l AND sa_row < r")
+def p14_locate_run_lengths(spark, d):
+    """Offsets from run lengths and every fourth offset alone: backward search, then LF steps."""
+    table = _saved_suffixes(spark, d)
+    runs = saved(X.run_lengths(table.drop("off")), "runs")
+    found = X.backward_search(runs, T.short_patterns(spark)).withColumn("sa_row", F.explode(F.sequence("l", F.col("r") - 1)))
+    placed = X.walk(runs, table.filter("sa_row % 4 = 0"), found.select("doc_id", "sa_row").distinct())
+    return found.join(placed, ["doc_id", "sa_row"]).select("query_id", "doc_id", F.col("off").alias("doc_offset"))
 
 
 @query(BOUNDED)
@@ -362,10 +410,12 @@ def p16_byte_check(spark, d):
     return M.byte_checked(docs, pats, M.locate(docs, pats))
 
 
-@query("SELECT 0::BIGINT AS problems")
+@query(T.LOCATE + "SELECT query_id, doc_id, CASE WHEN query_id = 1000 THEN 'COUNT' ELSE 'DUPLICATE' END AS problem FROM occ WHERE query_id IN (1000, 1001) GROUP BY ALL HAVING query_id = 1000 OR count(*) > 1")
 def p17_cross_validation(spark, d):
+    """One pattern's counts are one too high, another's offsets are all the same."""
     docs, pats = T.documents(spark, d), T.patterns(spark, d)
-    return M.cross_check(M.count_by_document(docs, pats), M.locate(docs, pats)).agg(F.count(F.lit(1)).alias("problems"))
+    counts = M.count_by_document(docs, pats).withColumn("match_count", F.col("match_count") + (F.col("query_id") == 1000).cast("bigint"))
+    return M.cross_check(counts, M.locate(docs, pats).withColumn("doc_offset", F.when(F.col("query_id") == 1001, 7).otherwise(F.col("doc_offset"))))
 
 
 @query(T.LOCATE + "SELECT pat.query_id, count(doc_id) AS match_count, true AS verified FROM pat LEFT JOIN occ USING (query_id) GROUP BY ALL")

@@ -378,14 +378,21 @@ def j4_variable_fragments(spark, d):
     return J.variable_fragments(_queries(spark, d), lengths).withColumn("fragment", F.lower(F.hex("fragment")))
 
 
+# chains of the fragments' places: all of them, and the greedy ones
+CHAIN = FHIT.replace("WITH ", "WITH RECURSIVE ", 1) + ", cg AS (SELECT DISTINCT query_id, chunk FROM fh), ch0(query_id, chunk, f, c) AS (SELECT query_id, chunk, 0, [doc_offset] FROM fh WHERE frag = 0 UNION ALL SELECT a.query_id, a.chunk, f + 1, list_append(c, doc_offset) FROM ch0 a JOIN fh b ON a.query_id = b.query_id AND a.chunk = b.chunk AND b.frag = f + 1 AND doc_offset > c[-1] AND abs(doc_offset - c[-1] - 32) <= 4), al AS (SELECT * FROM ch0 JOIN (SELECT query_id, chunk, max(f) AS f FROM ch0 GROUP BY ALL) USING (query_id, chunk, f) WHERE f >= 2)"
+GREEDY = FHIT.replace("WITH ", "WITH RECURSIVE ", 1) + ", cg AS (SELECT DISTINCT query_id, chunk FROM fh), ch0(query_id, chunk, f, c) AS (SELECT query_id, chunk, 0, [doc_offset] FROM fh WHERE frag = 0 UNION ALL SELECT query_id, chunk, f + 1, list_append(c, doc_offset) FROM (SELECT a.query_id, a.chunk, f, c, doc_offset, row_number() OVER (PARTITION BY a.query_id, a.chunk, c ORDER BY abs(doc_offset - c[-1] - 32), doc_offset) AS k FROM ch0 a JOIN fh b ON a.query_id = b.query_id AND a.chunk = b.chunk AND b.frag = f + 1 AND doc_offset > c[-1] AND abs(doc_offset - c[-1] - 32) <= 4) WHERE k = 1), al AS (SELECT query_id, chunk, max(f) AS f, arg_max(c, f) AS c FROM ch0 GROUP BY query_id, chunk, c[1] HAVING max(f) >= 2)"
+BEST_CHAIN = ", gp AS (SELECT *, list_transform(range(1, len(c)), lambda i: c[i+1] - c[i]) AS g FROM al), sc AS (SELECT *, list_sum(list_transform(g, lambda x: abs(x - 32)))::BIGINT AS err, list_median(list_transform(g, lambda x: abs(x - list_median(g)))) AS mad FROM gp), bc AS (SELECT *, count(*) OVER (PARTITION BY query_id, chunk) AS chains, row_number() OVER (PARTITION BY query_id, chunk ORDER BY len(c) DESC, err, mad, c) AS k FROM sc), cn0 AS (SELECT query_id, chunk, coalesce(chains, 0) AS chains, coalesce(len(c), 0) AS best_length, coalesce(err, 0) AS gap_error, coalesce(mad, 0.0::DOUBLE) AS gap_mad, coalesce(len(list_filter(flatten(list_transform(range(1, len(c)+1), lambda i: list_transform(range(i+2, len(c)+1), lambda j: abs(c[j] - c[i] - 32*(j-i)) <= 4*(j-i)))), lambda x: x)), 0) AS skips FROM cg LEFT JOIN (SELECT * FROM bc WHERE k = 1) USING (query_id, chunk))"
 
 
-@query()
+CHAIN_COLUMNS = " SELECT query_id, chunk, chains, best_length, gap_error, gap_mad, skips FROM cn0"
+
+
+@query(CHAIN + BEST_CHAIN + CHAIN_COLUMNS)
 def j5_chains(spark, d):
     return J.chains(fragment_hits(spark, d), 5, distance=32, tolerance=4)
 
 
-@query()
+@query(GREEDY + BEST_CHAIN + CHAIN_COLUMNS)
 def j6_greedy_chains(spark, d):
     return J.chains(fragment_hits(spark, d), 5, greedy=True, distance=32, tolerance=4)
 

@@ -83,6 +83,11 @@ def deterministic_tar(files: dict[str, bytes]) -> bytes:
     return out.getvalue()
 
 
+def read_tar(blob: bytes) -> dict[str, bytes]:
+    with tarfile.open(fileobj=io.BytesIO(blob), mode="r:gz") as tar:
+        return {m.name: tar.extractfile(m).read() for m in tar.getmembers()}
+
+
 def write_index(tables: dict[str, DataFrame], path: str) -> None:
     """An index as one Parquet folder a table."""
     for name, table in tables.items():

@@ -8,9 +8,10 @@ import stat
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanquarry.functions.binary import latin1, part, safe_path, utf8
+from spanquarry.functions.binary import latin1, part, utf8
 
 CHUNK = 16384
+MOST_DIRECT = 64 << 20
 
 
 def from_table(table: DataFrame, id_col: str, text_col: str, path: Column | None = None) -> DataFrame:
@@ -20,31 +21,87 @@ def from_table(table: DataFrame, id_col: str, text_col: str, path: Column | None
     return table.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(name).alias("path"), content.alias("content"), F.length(content).cast("bigint").alias("byte_length"))
 
 
-def from_directory(spark: SparkSession, root: str) -> DataFrame:
-    """A snapshot of the regular files below ``root``: doc_id is the rank of the raw relative path.
-
-    Only paths travel to one task for the ranking; contents are read where they are needed.
-    """
-    if root.startswith("/") and os.path.islink(root):
-        raise ValueError("ROOT_IS_SYMLINK")
-    blank: list[bytes] = []  # the file source skips files without bytes
-    if os.path.isdir(root):
-        for folder, dirs, files in os.walk(os.fsencode(root)):
-            for name in dirs + files:
+def _listed(spark: SparkSession, root: str) -> tuple[list[tuple[bytes, int]], object]:
+    """(raw relative path, length) of every regular file below ``root``, hidden ones too; other kinds are refused."""
+    if root.startswith("/"):
+        if os.path.islink(root):
+            raise ValueError("ROOT_IS_SYMLINK")
+        top = os.fsencode(root)
+        if not os.path.isdir(root):
+            return [(os.path.basename(top), os.lstat(top).st_size)], None
+        out = []
+        for folder, dirs, names in os.walk(top):
+            for name in dirs + names:
                 found = os.lstat(os.path.join(folder, name))
                 if not (stat.S_ISREG(found.st_mode) or stat.S_ISDIR(found.st_mode)):
                     raise ValueError(f"NOT_A_REGULAR_FILE: {os.fsdecode(name)}")
-                if stat.S_ISREG(found.st_mode) and not found.st_size:
-                    blank.append(os.path.relpath(os.path.join(folder, name), os.fsencode(root)))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/") + "/"
-    relative = utf8(F.substring_index(F.col("path"), base, -1))
-    rows = files.select(relative.alias("path"), F.col("length").alias("byte_length"), "content")
-    if blank:
-        rows = rows.unionByName(spark.createDataFrame([(bytearray(p), 0, bytearray(b"")) for p in blank], rows.schema))
-    rows = rows.filter(safe_path(F.col("path")))
-    ids = rows.select("path").withColumn("doc_id", (F.row_number().over(Window.orderBy("path")) - 1).cast("bigint"))
-    return rows.join(ids, "path").select("doc_id", "path", "content", "byte_length")
+                if stat.S_ISREG(found.st_mode):
+                    out.append((os.path.relpath(os.path.join(folder, name), top), found.st_size))
+        return out, None
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    base, files, out = fs.makeQualified(path).toUri().getPath().rstrip("/") + "/", fs.listFiles(path, True), []
+    while files.hasNext():
+        found = files.next()
+        full = found.getPath().toUri().getPath()
+        out.append((full[len(base) :].encode() if full.startswith(base) else os.path.basename(full).encode(), found.getLen()))
+    return out, fs
+
+
+def _direct(spark: SparkSession, root: str, names: list[bytes], fs) -> list[tuple]:
+    """Rows of files that Spark's reader passes over."""
+    rows = []
+    for name in names:
+        if fs is None:
+            with open(os.path.join(os.fsencode(root), name), "rb") as f:
+                content = f.read()
+        else:
+            stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(root, name.decode()))
+            content = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+            stream.close()
+        rows.append((bytearray(name), len(content), bytearray(content)))
+    return rows
+
+
+def from_directory(spark: SparkSession, root: str) -> DataFrame:
+    """A snapshot of all regular files below ``root``: doc_id is the rank of the raw relative path.
+
+    Only paths and lengths are listed on the driver. Contents are read by Spark's reader where they are needed;
+    it passes over empty files and names that begin with a dot or an underscore, which the driver reads itself,
+    ``MOST_DIRECT`` bytes at most. An unsafe path, another kind of file or more hidden bytes is an error, so no
+    file is left out.
+    """
+    files, fs = _listed(spark, root)
+    unsafe = [p for p, _ in files if not safe_name(p)]
+    if unsafe:
+        raise ValueError(f"UNSAFE_PATH: {unsafe[0]!r}")
+
+    def passed_over(path: bytes, size: int) -> bool:
+        return not size or any(c.startswith((b".", b"_")) for c in path.split(b"/"))
+
+    hidden = sorted(p for p, n in files if passed_over(p, n))
+    if sum(n for p, n in files if passed_over(p, n)) > MOST_DIRECT:
+        raise ValueError("TOO_MANY_HIDDEN_BYTES")
+    ranks = {p: k for k, p in enumerate(sorted(p for p, _ in files))}
+    kind = "path binary, byte_length bigint, content binary"
+    rows = spark.createDataFrame(_direct(spark, root, hidden, fs), kind)
+    if len(hidden) < len(files):
+        seen = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        base = root.rstrip("/") + "/"
+        relative = F.when(F.contains("path", F.lit(base)), F.substring_index("path", base, -1)).otherwise(F.substring_index("path", "/", -1))
+        if fs is not None:
+            base = fs.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(root)).toString().rstrip("/") + "/"
+            relative = F.when(F.startswith("path", F.lit(base)), F.substring("path", len(base) + 1, 1 << 30)).otherwise(F.substring_index("path", "/", -1))
+        rows = seen.select(utf8(relative).alias("path"), F.col("length").alias("byte_length"), "content").unionByName(rows)
+    table = spark.createDataFrame([(bytearray(p), k, n) for (p, n), k in ((f, ranks[f[0]]) for f in files)], "path binary, doc_id bigint, listed bigint")
+    met = table.join(rows, "path", "left")
+    same = F.when(F.col("content").isNull() | (F.col("byte_length") != F.col("listed")), F.raise_error(F.concat(F.lit("FILE_NOT_READ: "), F.hex("path")))).otherwise(F.col("byte_length"))
+    return met.select("doc_id", "path", "content", same.cast("bigint").alias("byte_length"))
+
+
+def safe_name(path: bytes) -> bool:
+    """``functions.binary.safe_path`` for one path."""
+    return bool(path) and b"\0" not in path and all(c not in (b"", b".", b"..") for c in path.split(b"/"))
 
 
 def manifest(corpus: DataFrame) -> DataFrame:

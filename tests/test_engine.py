@@ -72,6 +72,39 @@ def test_chains_against_all_combinations(spark):
     assert greedy["best_length"] <= got["best_length"]
 
 
+def test_repetitive_chains_need_no_list_of_them(spark):
+    """Every byte a place: far more chains than could be kept."""
+    hits = spark.createDataFrame([(0, f, 7, o) for f in range(8) for o in range(300)], "query_id bigint, frag int, chunk bigint, doc_offset bigint")
+    got = J.chains(hits, 8, distance=20, tolerance=6).first()
+    counts = dict.fromkeys(range(300), 1)
+    for _ in range(7):
+        counts = {q: sum(counts.get(q - g, 0) for g in range(14, 27)) for q in range(300)}
+    assert (got["chains"], got["best_length"], got["gap_error"], got["gap_mad"]) == (sum(counts.values()), 8, 0, 0.0)
+
+
+def test_service(spark):
+    from urllib.error import HTTPError
+
+    from spanquarry.plans.service import asked
+
+    c = Collection(spark, table(spark, [b"aaaa", b"", b"ba"]))
+    assert asked(c, "/query", {"text": "aa"})["match_count"] == 3
+    assert [r["status"] for r in asked(c, "/query_batch", {"queries": [{"hex": "61"}, {"hex": "6"}]})["results"]] == ["OK", "ODD_LENGTH"]
+    assert asked(c, "/locate", {"queries": [{"hex": "6161"}], "most": 2}) == {"occurrences": [[0, 0, 0], [0, 0, 1]]}
+    assert asked(c, "/histogram", {"queries": [{"hex": "61"}]})["chunks"] == [[0, 4], [2 << 20, 1]]
+    for path, given, status, seconds in (("/none", {}, 404, 5), ("/query", {}, 400, 5), ("/query", {"text": "a"}, 504, 0.001)):
+        with pytest.raises(HTTPError) as e:
+            asked(c, path, given, seconds)
+        assert e.value.code == status
+
+
+def test_identities_of_large_collections(spark):
+    docs = table(spark, [bytes([k % 7]) * k for k in range(50)])
+    found = {V.large_corpus_identity(d, 4).first()["identity"] for d in (docs, docs.repartition(5), docs.filter("doc_id <> 9"))}
+    assert len(found) == 2
+    assert V.corpus_identity(docs.limit(0)).first()["identity"]
+
+
 def test_spans_blocks_and_runs(spark):
     raw, query = b"xx" + b"abcdefgh" * 12 + b"yy", b"abcdefgh" * 12 + b"zzzz"
     candidates = spark.createDataFrame([(0, 1)], "query_id bigint, chunk bigint")

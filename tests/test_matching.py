@@ -116,6 +116,47 @@ def test_directory_snapshot(spark, tmp_path):
         S.from_directory(spark, str(tmp_path / "in"))
 
 
+def test_directory_snapshot_leaves_no_file_out(spark, tmp_path):
+    root = tmp_path / "in"
+    names = [".hidden", "_x", "_sub/y", "a.txt", "b c.txt", ".blank", "d+e %41é", ".git/deep/z"]
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"" if name == ".blank" else name.encode())
+    got = {bytes(r["path"]).decode(): (r["doc_id"], bytes(r["content"]), r["byte_length"]) for r in S.from_directory(spark, str(root)).collect()}
+    assert got == {n: (k, b"" if n == ".blank" else n.encode(), 0 if n == ".blank" else len(n.encode())) for k, n in enumerate(sorted(names, key=str.encode))}
+    by_uri = {bytes(r["path"]).decode() for r in S.from_directory(spark, f"file://{root}").collect()}
+    assert by_uri == set(names)
+
+
+def test_many_automata_give_the_same(spark, monkeypatch):
+    corpus, pats = table(spark, CORPORA["tree"]), wanted(spark, [*PATTERNS, b"a", b""])
+    monkeypatch.setattr(M, "MOST_BYTES", 9)
+    monkeypatch.setattr(M, "HITS", 3)
+    want = scan(CORPORA["tree"], [*PATTERNS, b"a"])
+    assert sorted(map(tuple, M.locate(corpus, pats).collect())) == want
+    assert sorted(map(tuple, M.locate_bounded(corpus, pats, 2).collect())) == [w for k in range(len(PATTERNS) + 1) for w in [x for x in want if x[0] == k][:2]]
+    assert dict(map(tuple, M.count(corpus, pats).collect())) == {k: sum(w[0] == k for w in want) for k in range(len(PATTERNS) + 2)}
+    disjoint = {(r[0], r[1]): r[2] for r in M.count_by_document(corpus, pats, overlapping=False).collect()}
+    assert disjoint == {(k, i): d.count(p) for k, p in enumerate([*PATTERNS, b"a"]) for i, d in enumerate(CORPORA["tree"]) if p in d}
+
+
+@pytest.mark.parametrize("name", ["tree", "periodic", "mixed", "regex", "one empty"])
+def test_searches_over_runs(spark, name):
+    docs = CORPORA[name]
+    corpus, pats = table(spark, docs), wanted(spark)
+    full = X.suffixes(corpus)
+    runs = X.run_lengths(full)
+    want = X.intervals(full, corpus, pats)
+    assert sorted(map(tuple, X.backward_search(runs, pats).collect())) == sorted(map(tuple, want.collect()))
+    for step in (1, 3, 1000):
+        walked = {(r["doc_id"], r["sa_row"]): (r["off"], r["steps"]) for r in X.walk(runs, full.filter(F.col("sa_row") % step == 0), full).collect()}
+        rows = full.collect()
+        assert {k: v[0] for k, v in walked.items()} == {(r["doc_id"], r["sa_row"]): r["off"] for r in rows}
+        kept = {(r["doc_id"], r["off"]) for r in rows if r["sa_row"] % step == 0}
+        for (doc, _), (off, steps) in walked.items():
+            assert steps == next(k for k in range(off + 1) if (doc, off - k) in kept or k == off)
+
+
 def test_stable_pattern(tmp_path):
     (tmp_path / "p").write_bytes(b"ab\0")
     assert S.stable_pattern(str(tmp_path / "p")) == b"ab\0"
