@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanquarry.llm.storage import Scratch
-from spanquarry.llm.textarrays import mix, powers, slices
+from spanquarry.llm.textarrays import PRIME, mix, powers, slices, small_powers
 
 DEPTH = 200
 GRAM = 64
@@ -48,17 +48,29 @@ _HIGH, _LOW = U(0xFFFFFFFF00000000), U(0xFFFFFFFF)
 
 
 class Hashes:
-    """Hashes of any byte range of a slice, by prefix sums."""
+    """Hashes of any byte range of a slice, by prefix sums.
+
+    ``of`` is a polynomial modulo 2**64, for the anchors: that has colliding strings of a thousand bytes, not of
+    ``GRAM``. ``strong`` adds one modulo a prime, which those do not meet; digits that stand for bytes use it.
+    """
 
     def __init__(self, data: np.ndarray):
         n = len(data)
         up, self.down = powers(n + 1)
+        wide = data.astype(np.uint64) + U(1)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + U(1)) * up[:n], out=self.sums[1:])
+        np.cumsum(wide * up[:n], out=self.sums[1:])
+        up, self.small_down = small_powers(n + 1)
+        self.small = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(wide * up[:n] % U(PRIME), out=self.small[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
+    def strong(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        other = (self.small[end] - self.small[start]) % U(PRIME) * self.small_down[start] % U(PRIME)
+        return mix(self.of(start, end) + other * U(0x9E3779B97F4A7C15))
+
 
 def _window_min(values: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each run of ``width`` values, by doubling."""
@@ -94,7 +106,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, depth: int, gram: int) -> dict[s
     # a run ends before the next one or with the row's last window
     end = np.minimum(np.append(start[1:], len(data)), offsets[row + 1] - depth + 1)
     at = place[start]
-    body = hashes.of(start, end - 1 + depth)
+    body = hashes.strong(start, end - 1 + depth)
     body = mix(body ^ ((at - start).astype(np.uint64) << U(32)) ^ (end - start).astype(np.uint64))
     return {"row": row, "start": start - offsets[row], "length": end - start, "off": at - start, "anchor": grams[at], "body": body}
 
@@ -190,8 +202,8 @@ def _blocks(table: DataFrame, depth: int, block: int) -> DataFrame:
         first = pos - np.minimum(j * block + block - 1, off[which])
         last = pos - np.maximum(j * block, (off - length + 1)[which])
         own = pos - first
-        core = hashes.of(pos - j * block, pos - j * block - block + 1 + depth)
-        body = mix(hashes.of(first, last + depth) ^ (own.astype(np.uint64) << U(32)) ^ (last - first).astype(np.uint64))
+        core = hashes.strong(pos - j * block, pos - j * block - block + 1 + depth)
+        body = mix(hashes.strong(first, last + depth) ^ (own.astype(np.uint64) << U(32)) ^ (last - first).astype(np.uint64))
         return [pa.array(r["anchor"][which]), pa.array(j.astype(np.int32)), _signed(core), pa.array(first.astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array(own.astype(np.int32)), _signed(body), pa.array(r["n"][which])]
 
     return _each(table, "anchor bigint, j int, core bigint, start int, length int, off int, body bigint, n bigint", ["anchor", "j", "core", "start", "length", "off", "body", "n"], of)
@@ -202,7 +214,7 @@ def _windows(table: DataFrame, depth: int) -> DataFrame:
 
     def of(data: np.ndarray, r: dict) -> list[pa.Array]:
         at, which = _opened(r["start"].astype(np.int64), r["length"].astype(np.int64))
-        return [pa.array(r["anchor"][which]), pa.array(at.astype(np.int32)), _signed(Hashes(data).of(at, at + depth)), pa.array(r["n"][which])]
+        return [pa.array(r["anchor"][which]), pa.array(at.astype(np.int32)), _signed(Hashes(data).strong(at, at + depth)), pa.array(r["n"][which])]
 
     return _each(table, "anchor bigint, start int, window bigint, n bigint", ["anchor", "start", "window", "n"], of)
 

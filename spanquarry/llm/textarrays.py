@@ -21,6 +21,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LANES = np.array([pow(0xD1342543DE82EF95, i + 1, 1 << 64) | 1 for i in range(16)], dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
+PRIME = (1 << 31) - 1
+_SMALL = 1_234_567_891
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +46,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def factors(n: int) -> np.ndarray:
+    """At least ``n`` random odd numbers, one for each place of a word."""
+    if len(_powers.get("factors", ())) < n:
+        size = 1 << max(int(n - 1).bit_length(), 12)
+        _powers["factors"] = mix(np.arange(1, size + 1, dtype=np.uint64) * U(_BASE)) | U(1)
+    return _powers["factors"]
+
+
+def small_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of a number and of its inverse, modulo the prime ``PRIME``."""
+    if len(_powers.get("small-up", ())) < n:
+        size = 1 << max(int(n - 1).bit_length(), 20)
+        for name, base in (("small-up", _SMALL), ("small-down", pow(_SMALL, -1, PRIME))):
+            grown = np.ones(size, dtype=np.uint64)
+            reach = 1
+            while reach < size:
+                grown[reach : 2 * reach] = grown[:reach] * U(pow(base, reach, PRIME)) % U(PRIME)
+                reach *= 2
+            _powers[name] = grown
+    return _powers["small-up"], _powers["small-down"]
+
+
 def lut(is_separator) -> np.ndarray:
     """A 256-entry table: whether a byte belongs to a word."""
     return np.array([not is_separator(b) for b in range(256)])
@@ -101,10 +125,20 @@ class Words:
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(stops) + 1
         self.first = np.searchsorted(self.start, offsets)
-        up, down = powers(n + 1)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + U(1)) * up[:n], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
+        self.hash = self._hash(inside)
+
+    def _hash(self, inside: np.ndarray) -> np.ndarray:
+        """A sum over each word's bytes, each times a random number of its place in the word.
+
+        Unlike a polynomial modulo 2**64, such a sum has no inputs that are known to collide for any base.
+        """
+        sizes = self.end - self.start
+        if not len(sizes):
+            return np.empty(0, dtype=np.uint64)
+        first = np.cumsum(sizes) - sizes
+        place = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
+        terms = (self.data[inside].astype(np.uint64) + U(1)) * factors(int(sizes.max()))[place]
+        return mix(np.add.reduceat(terms, first))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
