@@ -12,8 +12,10 @@
    contraction of the graph.
 4. A bucket whose classes are still in several components may hide links that no star has tried. Its
    classes outside its largest component are compared with all of it in blocks of bounded size, each pair in
-   the first band that it shares, again on full sets (the centre's pairs are known already). What that finds is added and components are
-   found once more. So no candidate of the bands is lost, whatever a bucket's size.
+   the first band that it shares (the centre's pairs are known already). A block holds a byte of each bin and
+   the sets of at most ``SMALL`` shingles, no others: larger sets are alike in so many bins that only a pair of
+   no fewer (eight standard deviations below the mean, a chance of 1e-10) goes on to be confirmed on full sets.
+   What that finds is added and components are found once more.
 
 Nothing that grows with the documents comes to the driver. Tables between the steps are written to the
 shared folder, so a lost executor costs only the step under way.
@@ -44,6 +46,7 @@ BINS = 96
 ROWS = 4
 BANDS = BINS // ROWS
 BLOCK = 512
+SMALL = 256
 U = np.uint64
 _EMPTY = np.uint64(1 << 32)
 _ORDERS = np.stack([np.random.default_rng(1000 + b).permutation(BINS) for b in range(BINS)])
@@ -53,11 +56,11 @@ def shingle_sets(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     return [np.unique(hashes[first[r] : first[r + 1]]) for r in range(len(first) - 1)]
 
 
-def bands(sets: list[np.ndarray]) -> np.ndarray:
-    """The band keys of each non-empty set: a row of ``BANDS`` 64-bit numbers that hold the band's number."""
+def bands(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The band keys of each non-empty set, ``BANDS`` 64-bit numbers that hold the band's number, and a byte of each bin."""
     signature = np.full((len(sets), BINS), _EMPTY, dtype=np.uint64)
     if not sets:
-        return np.empty((0, BANDS), dtype=np.uint64)
+        return np.empty((0, BANDS), dtype=np.uint64), np.empty((0, BINS), dtype=np.uint8)
     every = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     np.minimum.at(signature.reshape(-1), row * BINS + ((every >> U(32)) % U(BINS)).astype(np.int64), every & U(0xFFFFFFFF))
@@ -75,7 +78,7 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
     keys = np.zeros((len(sets), BANDS), dtype=np.uint64)
     for lane in range(ROWS):
         keys = mix(keys * U(31) + signature[:, lane::ROWS] + U(lane + 1))
-    return mix(keys ^ (np.arange(BANDS, dtype=np.uint64) << U(56)))
+    return mix(keys ^ (np.arange(BANDS, dtype=np.uint64) << U(56))), mix(signature).astype(np.uint8)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -83,7 +86,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, width: int, carry: str | None = None) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null if empty), bands and the column ``carry`` of every row."""
+    """doc_id, n_shingles, digest (of the set; null if empty), bands, bins and the column ``carry`` of every row."""
     more = [carry] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,19 +94,21 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, carry: str | N
             for lo, hi, data, offsets in slices(batch.column(1)):
                 sets = shingle_sets(*Words(data, offsets).shingles(width))
                 full = [r for r, s in enumerate(sets) if len(s)]
-                keys = _signed(bands([sets[r] for r in full]))
+                keys, short = bands([sets[r] for r in full])
+                keys = _signed(keys)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 lists: list = [None] * len(sets)
+                bins: list = [None] * len(sets)
                 for k, r in enumerate(full):
-                    lists[r] = keys[k]
+                    lists[r], bins[r] = keys[k], short[k].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(lists, pa.list_(pa.int64())),
+                    [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(bins, pa.binary()),
                      *(batch.column(2 + c).slice(lo, hi - lo) for c in range(len(more)))],
-                    names=["doc_id", "n_shingles", "digest", "bands", *more],
+                    names=["doc_id", "n_shingles", "digest", "bands", "bins", *more],
                 )
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *more)
-    schema = T.StructType().add("doc_id", T.LongType()).add("n_shingles", T.LongType()).add("digest", T.BinaryType()).add("bands", T.ArrayType(T.LongType()))
+    schema = T.StructType().add("doc_id", T.LongType()).add("n_shingles", T.LongType()).add("digest", T.BinaryType()).add("bands", T.ArrayType(T.LongType())).add("bins", T.BinaryType())
     for c in more:
         schema = schema.add(docs.schema[c])
     return rows.mapInArrow(run, schema)
@@ -160,18 +165,22 @@ def _fits(n: str, m: str, percent: int):
 
 
 def _in_blocks(open_members: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (a, b) between components within buckets, on full sets, a block of members against a block.
+    """Pairs (a, b, sure) between components within buckets, a block of members against a block.
 
-    ``open_members``: key, rep, n, comp, outer (outside the bucket's largest component), m (bucket size), bands, hashes.
+    ``open_members``: key, rep, n, comp, outer (outside the bucket's largest component), m (bucket size), bands,
+    bins and hashes (null beyond ``SMALL``). A pair is sure if it was compared on its sets.
     """
+    share = percent / 100
+    least = BINS * share - 8 * (BINS * share * (1 - share)) ** 0.5
 
     def run(table: pa.Table) -> pa.Table:
         key = table.column("key")[0].as_py()
         part = {c: np.array(table.column(c).to_pylist()) for c in ("side", "rep", "comp", "n")}
         keys = np.array(table.column("bands").to_pylist())
+        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
         column = table.column("hashes").combine_chunks()
         left, right = np.flatnonzero(part["side"] == 0), np.flatnonzero(part["side"] == 1)
-        found_a, found_b = [], []
+        found_a, found_b, sure = [], [], []
         for x in left:
             n = part["n"][right]
             ok = (part["comp"][right] != part["comp"][x]) & (np.minimum(n, part["n"][x]) * 100 >= np.maximum(n, part["n"][x]) * percent)
@@ -180,20 +189,28 @@ def _in_blocks(open_members: DataFrame, percent: int, block: int) -> DataFrame:
                 continue
             same = keys[mates] == keys[x]
             mates = mates[keys[x][same.argmax(1)] == key]  # others meet in an earlier band
+            exact = (part["n"][x] <= SMALL) & (part["n"][mates] <= SMALL)
+            close = mates[~exact & ((bins[mates] == bins[x]).sum(1) >= least)]
+            found_a += [int(part["rep"][x])] * len(close)
+            found_b += part["rep"][close].tolist()
+            sure += [False] * len(close)
+            if not exact.any():
+                continue
             own = column[int(x)].values.to_numpy()
-            for y in mates:
+            for y in mates[exact]:
                 shared = len(np.intersect1d(own, column[int(y)].values.to_numpy(), assume_unique=True))
                 if shared * 100 >= (part["n"][x] + part["n"][y] - shared) * percent:
                     found_a.append(int(part["rep"][x]))
                     found_b.append(int(part["rep"][y]))
-        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+                    sure.append(True)
+        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64()), "sure": pa.array(sure, pa.bool_())})
 
     g = F.ceil(F.col("m") / block).cast("int")
     rows = open_members.withColumn("g", g).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
     span = F.sequence(F.lit(0), F.col("g") - 1)
     outer = rows.filter("outer").select("*", F.lit(0).alias("side"), F.col("own").alias("i"), F.explode(span).alias("j"))
     inner = rows.select("*", F.lit(1).alias("side"), F.explode(span).alias("i"), F.col("own").alias("j"))
-    return outer.unionByName(inner).groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint")
+    return outer.unionByName(inner).groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint, sure boolean")
 
 
 def link(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 80, block: int = BLOCK) -> tuple[DataFrame, Scratch]:
@@ -204,7 +221,7 @@ def link(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percent: i
     name = F.when(F.col("digest").isNotNull(), F.xxhash64("digest"))
     signed = scratch.save(sign(base, "i", "t", width, carry="k").withColumn("rep", name), "signed")
     named = signed.filter("digest is not null")
-    ids = named.groupBy("rep").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.min("k").alias("k"))
+    ids = named.groupBy("rep").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bins").alias("bins"), F.min("k").alias("k"))
     classes = scratch.save(ids, "classes")
     placed = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
@@ -228,8 +245,11 @@ def link(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percent: i
     parts = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     several = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     rest = known.join(several.select("key", F.col("most.comp").alias("main")), "key").withColumn("outer", F.col("comp") != F.col("main"))
-    rest = rest.join(classes.select("rep", "bands"), "rep").join(sets, "rep").select("key", "rep", "n", "m", "comp", "outer", "bands", "hashes")
-    more = scratch.save(_in_blocks(rest, percent, block), "more")
+    small = sets.filter(F.size("hashes") <= SMALL)
+    rest = rest.join(classes.select("rep", "bands", "bins"), "rep").join(small, "rep", "left").select("key", "rep", "n", "m", "comp", "outer", "bands", "bins", "hashes")
+    met = scratch.save(_in_blocks(rest, percent, block), "met")
+    unsure = met.filter(~F.col("sure")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = scratch.save(_confirmed(unsure, sets, percent).union(met.filter("sure").select("a", "b")), "more")
     if not more.isEmpty():
         links = links.union(more)
         labels = components(links, scratch)

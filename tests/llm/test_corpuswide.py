@@ -60,6 +60,29 @@ def test_blocks_find_what_a_star_leaves(spark):
     assert [got[k] for k in range(20)] == want
 
 
+def test_words_that_collide_in_polynomials_stay_apart(spark):
+    """Two words of 1,024 letters that every polynomial modulo 2**64 gives one value, as words and inside passages."""
+    one = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    two = "".join("ba"[k.bit_count() % 2] for k in range(1024))
+    rest = " ".join(f"w{k}" for k in range(3))
+    table = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{one} {rest}")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.link(table, "doc_id", "text", 3, 85)[0].collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    texts = [one, two, "x" + one]
+    cut = {r["doc_id"]: tuple(r)[2:] for r in substring_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "doc_id", "text").collect()}
+    assert [cut[k] for k in range(3)] == list(cut_by_hand([t.encode() for t in texts], 200))
+
+
+def test_blocks_of_large_sets(spark):
+    """Links that stars leave between texts of more shingles than a block carries."""
+    words = [f"w{k}" for k in range(2400)]
+    chain = [(k, " ".join(words[40 * k : 40 * k + 800])) for k in range(16)]
+    table = spark.createDataFrame(chain, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.link(table, "doc_id", "text", 3, 85, 4)[0].collect()}
+    want, _ = components(chain, 3, 85)
+    assert [got[k] for k in range(16)] == want
+
+
 def test_rows_without_ids_and_versions_are_linked(spark):
     """Near copies without ids are linked to one another and to rows with ids; versions of an id link what is like either."""
     texts = [[f"{kind}{k}" for k in range(120)] for kind in "abcdef"]
