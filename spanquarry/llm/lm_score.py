@@ -4,9 +4,11 @@ Words are counted over all training documents. The ``DICTIONARY`` most frequent
 limit stay out) and their counts travel to the workers; counts of all other words stay in a table and reach
 the documents by a join, so no part of the vocabulary is left out and nothing grows on the driver. The
 ``CLUSTERED`` most frequent words are assigned to ``CLASSES`` classes by exchange: each word in turn moves
-to the class that raises the likelihood of the corpus' class bigrams most, until a sweep moves none. The
-bigrams are counted over all training documents between these words and three more symbols: the other
-dictionary words, all rarer words, and the end of a text.
+to the class that raises the likelihood of the corpus' class bigrams most, until a sweep moves none. Every
+other dictionary word then takes one step of the same exchange against these classes: its bigrams with them are
+counted in Spark over all training documents, a row a word and neighbouring class, and the word's class is found
+on the executors. The class bigrams are counted over all training documents once all words have their class;
+words beyond the dictionary share one class, the end of a text has its own.
 
 The model's probability of a token is that of its class after the last token's class (smoothed by the class
 frequencies) times that of the token in its class (add-``ADD`` with one place for unseen words). A text begins
@@ -37,7 +39,7 @@ CLASSES = 48
 SWEEPS = 10
 FLUSH = 2_000_000
 END = np.uint64(0x9D3779B97F4A7C21)
-TAIL, RARE, STOP = 0, 1, 2  # symbols after the clustered words, and classes after the found ones
+TAIL, RARE, STOP = 0, 1, 2  # symbols after the clustered words, and classes after the found ones; TAIL: not assigned yet
 
 
 def held_out(id_col: str) -> Column:
@@ -142,6 +144,70 @@ def count_bigrams(training: DataFrame, shared, size: int) -> np.ndarray:
     return out.reshape(size, size)
 
 
+def count_neighbours(training: DataFrame, shared) -> DataFrame:
+    """(w, x, c): how often a word without a class (its place in the dictionary) stands before (x even) or after
+    (odd) class x // 2; ``shared``: (sorted hashes, classes of the words, their number)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, kinds, every = shared.value
+        width, held, size = 2 * every, [], 0
+
+        def out() -> pa.RecordBatch:
+            pairs, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array((pairs // width).astype(np.int32)), pa.array((pairs % width).astype(np.int32)), pa.array(c.astype(np.int64))], names=["w", "x", "c"])
+
+        for batch in batches:
+            for _, _, data, offsets in slices(batch.column(0)):
+                words = Words(data, offsets)
+                now, first, places = symbols(words, table, kinds, every - 3 + RARE, every - 3 + STOP)
+                row = np.repeat(np.arange(len(first) - 1), words.counts())
+                at = np.arange(len(row)) + row  # the words' tokens; every text ends with a token of its own
+                open_ = np.flatnonzero((places >= 0) & (now[at] == every - 3 + TAIL))
+                before = np.concatenate([[every - 3 + STOP], now[:-1]])
+                held += [places[open_] * width + 2 * now[at[open_] + 1], places[open_] * width + 2 * before[at[open_]] + 1]
+                size += 2 * len(open_)
+                if size > FLUSH:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
+
+    return training.mapInArrow(run, "w int, x int, c bigint").groupBy("w", "x").agg(F.sum("c").alias("c"))
+
+
+def best_classes(after: np.ndarray, before: np.ndarray, joint: np.ndarray, classes: int) -> np.ndarray:
+    """The class of each word that raises the likelihood of the class bigrams most; rows of ``after`` and
+    ``before`` are the word's counts by class."""
+    gain = np.zeros((len(after), classes))
+    base, rows, columns = _xlogx(joint), joint.sum(1)[:classes], joint.sum(0)[:classes]
+    for counts, table, sums, plain in ((after, joint[:classes], rows, base[:classes]), (before, joint.T[:classes], columns, base.T[:classes])):
+        w, x = np.nonzero(counts)
+        np.add.at(gain, w, (_xlogx(table[:, x] + counts[w, x]) - plain[:, x]).T)
+        gain -= _xlogx(sums + counts.sum(1, keepdims=True)) - _xlogx(sums)
+    return gain.argmax(1)
+
+
+def assign(neighbours: DataFrame, joint: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words in ``neighbours`` and their classes, found where their counts stand."""
+    every = len(joint)
+    shared = neighbours.sparkSession.sparkContext.broadcast(joint)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                wide = np.zeros((part.num_rows, 2 * every))
+                xs = part.column(1)
+                row = np.repeat(np.arange(part.num_rows), np.diff(xs.offsets.to_numpy()))
+                wide[row, xs.flatten().field("x").to_numpy()] = xs.flatten().field("c").to_numpy()
+                found = best_classes(wide[:, 0::2], wide[:, 1::2], shared.value, classes)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.astype(np.int32))], names=["w", "k"])
+
+    lists = neighbours.groupBy("w").agg(F.collect_list(F.struct("x", "c")).alias("xs"))  # at most two a class
+    found = lists.mapInArrow(run, "w int, k int").toArrow()
+    return found.column("w").to_numpy(), found.column("k").to_numpy()
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -216,28 +282,32 @@ def score(docs: DataFrame, id_col: str, text_col: str, most_words: int = DICTION
     member = np.zeros((size, every))
     member[np.arange(size), kind] = 1
     joint = member.T @ bigrams @ member
+    symbol = kind[symbol]  # from here on a word's symbol is its class
+    if len(table) > len(chosen) > 0:
+        words, found = assign(count_neighbours(training, spark.sparkContext.broadcast((table, symbol, every))), joint, every - 3)
+        symbol[words] = found
+        joint = count_bigrams(training, spark.sparkContext.broadcast((table, symbol)), every)
     prior = (joint.sum(0) + 1e-3) / (joint.sum() + 1e-3 * every)
     step = np.log10((joint + BACK_OFF * prior) / (joint.sum(1, keepdims=True) + BACK_OFF))
-    held = np.bincount(kind[symbol], c, every) if len(c) else np.zeros(every)
-    types = np.bincount(kind[symbol], minlength=every).astype(float) if len(c) else np.zeros(every)
+    held = np.bincount(symbol, c, every) if len(c) else np.zeros(every)
+    types = np.bincount(symbol, minlength=every).astype(float) if len(c) else np.zeros(every)
     held[-1], types[-1] = ends, 1
     held[-2], types[-2] = total - ends - c.sum(), kinds - bool(ends) - len(c)
     room = held + ADD * (types + 1)
     base_room = total + ADD * (kinds + 1)
-    emit = np.log10((c + ADD) / room[kind[symbol]]) if len(c) else np.zeros(0)
+    emit = np.log10((c + ADD) / room[symbol]) if len(c) else np.zeros(0)
     base = np.log10((c + ADD) / base_room) if len(c) else np.zeros(0)
     end_emit, end_base = np.log10((ends + ADD) / room[-1]), np.log10((ends + ADD) / base_room)
     rare_room = float(room[-2])
-    shared = spark.sparkContext.broadcast((table, symbol, kind, step, emit, base))
+    shared = spark.sparkContext.broadcast((table, symbol, step, emit, base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, symbol, kind, step, emit, base = shared.value
+        table, symbol, step, emit, base = shared.value
         emit0, base0 = np.append(emit, 0.0), np.append(base, 0.0)  # place -1: by the join
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column(2)):
                 words = Words(data, offsets)
-                now, first, places = symbols(words, table, symbol, size - 3 + RARE, size - 3 + STOP)
-                now = kind[now]
+                now, first, places = symbols(words, table, symbol, every - 3 + RARE, every - 3 + STOP)
                 path = step[np.concatenate([[every - 1], now[:-1]]), now]
                 model = np.add.reduceat(path, first[:-1]) + end_emit
                 n = words.counts()

@@ -170,6 +170,90 @@ def test_language_model_base_is_exact(docs, rows, empty):
     assert lm_score.score(empty, "doc_id", "text").count() == 0
 
 
+def plain_class_model(training, most, clustered, classes):
+    """(score of a token list, next-token probabilities) by dictionaries of word counts, for given limits."""
+    counts = Counter(x for tokens in training for x in tokens)
+    words = [w for w in counts if w is not None]
+    limit = min((c for c in set(counts.values()) if sum(counts[w] >= c for w in counts) <= most), default=None)
+    known = [w for w in words if limit is not None and counts[w] >= limit]
+    code = {w: int(lm_score.Words(*lm_score_raw(w)).hash[0]) for w in words}
+    chosen = sorted(known, key=lambda w: (-counts[w], code[w]))[:clustered]
+    place = {w: k for k, w in enumerate(chosen)}
+    n = len(chosen)
+
+    def table(symbol, size):
+        out = np.zeros((size, size))
+        for tokens in training:
+            for a, b in itertools.pairwise([None, *tokens]):
+                out[symbol(a), symbol(b)] += 1
+        return out
+
+    bigrams = table(lambda w: n + 2 if w is None else place.get(w, n if w in set(known) else n + 1), n + 3)
+    kind = lm_score.exchange(bigrams, classes)
+    every, own = int(kind[-1]) + 1, {}
+    for w in words:
+        own[w] = int(kind[place[w]]) if w in place else every - 3 if w in known else every - 2
+    own[None] = every - 1
+    joint = table(own.get, every)
+    if len(known) > n > 0:
+        moved = dict(own)
+        for w in known:
+            if w in place:
+                continue
+            after, before = np.zeros(every), np.zeros(every)
+            for tokens in training:
+                for a, b in itertools.pairwise([None, *tokens]):
+                    after[own[b]] += a == w
+                    before[own[a]] += b == w
+            best = []
+            for k in range(every - 3):
+                f = lambda x: x * math.log(x) if x > 0 else 0.0
+                gain = sum(f(joint[k, x] + after[x]) - f(joint[k, x]) + f(joint[x, k] + before[x]) - f(joint[x, k]) for x in range(every))
+                gain -= f(joint[k].sum() + after.sum()) - f(joint[k].sum()) + f(joint[:, k].sum() + before.sum()) - f(joint[:, k].sum())
+                best.append((-round(gain, 9), k))
+            moved[w] = min(best)[1]
+        own = moved
+        joint = table(own.get, every)
+    held, types = Counter(), Counter()
+    for w, c in counts.items():
+        held[own[w]] += c
+        types[own[w]] += 1
+    types[every - 1] = 1
+    prior = (joint.sum(0) + 1e-3) / (joint.sum() + 1e-3 * every)
+
+    def probability(a, w):
+        k = own.get(w, every - 2)
+        step = (joint[a, k] + lm_score.BACK_OFF * prior[k]) / (joint[a].sum() + lm_score.BACK_OFF)
+        return step * (counts[w] + lm_score.ADD) / (held[k] + lm_score.ADD * (types[k] + 1)), k
+
+    def score(tokens):
+        total, a = 0.0, every - 1
+        for w in tokens:
+            p, a = probability(a, w)
+            total += math.log10(p)
+        return total
+
+    sums = [sum(probability(a, w)[0] for w in counts) + sum((joint[a, k] + lm_score.BACK_OFF * prior[k]) / (joint[a].sum() + lm_score.BACK_OFF) * lm_score.ADD / (held[k] + lm_score.ADD * (types[k] + 1)) for k in range(every)) for a in range(every)]
+    return score, sums
+
+
+def lm_score_raw(word):
+    return np.frombuffer(word, dtype=np.uint8), np.array([0, len(word)])
+
+
+def test_scores_against_a_plain_model(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(words[(i % 3) * 10 :: 2], rng.integers(1, 40))) for i in range(90)] + ["never seen", "", None]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    training = [[*lowered(t), None] for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    for most, clustered, classes in ((1 << 18, 12, 4), (25, 8, 3), (0, 8, 3), (1 << 18, 1000, 5)):
+        score, sums = plain_class_model(training, most, clustered, classes)
+        got = {r["doc_id"]: r["score"] for r in lm_score.score(table, "doc_id", "text", most_words=most, clustered=clustered, classes=classes).collect()}
+        assert np.allclose([got[i] for i in range(len(texts))], [score([*lowered(t), None]) for t in texts], atol=1e-6)
+        assert np.allclose(sums, 1.0)
+
+
 def test_class_model_is_a_distribution_and_exchange_helps():
     rng = np.random.default_rng(3)
     # two hidden classes that alternate
