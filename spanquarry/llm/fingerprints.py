@@ -6,34 +6,37 @@ texts and the containment of one in another. Shingles are runs of five words (a
 shingle), words are runs other than ASCII white space with A-Z lowered.
 
 ``fingerprint_edits`` compares every text with an edit of it that borrows from the next document. Documents
-are dealt to ranges of descending id once, and the first document of each range is also dealt to the range
-before it, so that every document meets its next one in a task that holds one row at a time. The ranges'
-limits come from a scan of the ids alone.
+are dealt to as many ranges of (descending id, hash of the text) as the session has shuffle partitions, once, and
+the first document of each range is also dealt to the range before it, so that every document meets its next one
+in a task that holds a few rows at a time. Rows that share an id, or have none, are split between ranges by
+their texts' hashes. The ranges' limits come from a bounded sample of the keys, of which the driver holds two
+numbers a row; which row begins a range reaches the documents by a join with a row a range.
 
 Defined cases: a null or empty text has an empty sketch, likeness 1 to another empty one and 0 to any
-other; ids are ordered descending with nulls last and equal ids by text, so repeated rows follow each other;
-a single document is its own next one; other columns of any name are ignored; an empty table gives an
-empty result.
+other; ids are ordered descending with nulls last and equal ids by a hash of the text, so repeated rows follow
+each other; a single document is its own next one; a text of any length is one row that a task holds with its
+next one and their edit; other columns of any name are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanquarry.llm.storage import Scratch
 from spanquarry.llm.textarrays import SLICE_BYTES, Words, raw
 
 K = 128
 WIDTH = 5
 BITS = 48
-ROWS_PER_RANGE = 1 << 17
-NULL_ID = -(1 << 63) + 1
+SAMPLE = 20
 
 
 def sketches(texts: list[bytes], k: int = K, width: int = WIDTH) -> list[np.ndarray]:
@@ -94,8 +97,8 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
-_SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_distinct", pa.float64()), ("distinct_both", pa.float64()), ("kept_share", pa.float64())]
+_SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double, distinct_both double, kept_share double"
 
 
 def _rows(pending: list[tuple]) -> pa.RecordBatch:
@@ -106,13 +109,16 @@ def _rows(pending: list[tuple]) -> pa.RecordBatch:
     other = [own[i + 1] if i + 1 < len(pending) and pending[i + 1][1] is pending[i][2] else sketches([pending[i][2].encode()])[0] for i in range(len(pending))]
     new = sketches(changed)
     columns = [
-        [None if i == NULL_ID else i for i, _, _ in pending],
+        [i for i, _, _ in pending],
         [len(t) for _, t, _ in pending],
         [hashlib.sha256(c).hexdigest() for c in changed],
         [dumps(a) for a in own],
         [dumps(a) for a in new],
         [resemblance(a, b) for a, b in zip(own, new, strict=True)],
         [resemblance(a, b) for a, b in zip(own, other, strict=True)],
+        [distinct(a) for a in own],
+        [distinct(merge(a, b)) for a, b in zip(own, new, strict=True)],
+        [containment(a, b) for a, b in zip(own, new, strict=True)],
     ]
     return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
 
@@ -137,49 +143,53 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(pending)
 
 
-def fingerprint_edits(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int = ROWS_PER_RANGE, least_ranges: int | None = None) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row."""
-    spark = docs.sparkSession
-    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID))
-    ids = docs.select(key.alias("i"))
-    stats = ids.agg(F.count(F.lit(1)).alias("n")).first()
-    if not stats["n"]:
-        return spark.createDataFrame([], _SCHEMA)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stats["n"] // rows_per_range))
-    ranges = least_ranges or 4 * tasks  # several ranges a task even out what the hash of their numbers does
-    cuts = sorted(set(ids.agg(F.percentile_approx("i", [k / ranges for k in range(1, ranges)], 100 * ranges).alias("c")).first()["c"] or [])) if ranges > 1 else []
-    # range 0 has the ids above the last cut; one number a range comes to the driver
-    tops = {r["r"]: r["top"] for r in ids.select(F.expr(_where_sql(cuts)).alias("r"), "i").groupBy("r").agg(F.max("i").alias("top")).collect()}
-    order = sorted(tops)
-    # the range before a range also gets that range's first rows; the last range gets those of the first
-    before = {tops[r]: order[k - 1] for k, r in enumerate(order)}
-    if len(order) == 1:
-        before = {tops[order[0]]: order[0]}
-    pairs = F.map_from_arrays(F.array(*map(F.lit, before)), F.array(*map(F.lit, before.values())))
-    rows = docs.select(key.alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = rows.select("i", "t", F.expr(_where_sql(cuts)).alias("r"))
-    ghost = F.when(F.col("i").isin(list(before)), F.element_at(pairs, F.col("i")))
-    dealt = rows.select(F.explode(F.array_compact(F.array(F.struct(F.col("r"), F.lit(0).alias("g")), F.when(ghost.isNotNull(), F.struct(ghost.cast("int").alias("r"), F.lit(1).alias("g")))))).alias("p"), "i", "t")
-    dealt = dealt.select("p.r", "p.g", "i", "t").repartition(tasks, "r").sortWithinPartitions("r", "g", F.desc("i"), "t")
-    return dealt.mapInArrow(_walk, _SCHEMA)
-
-
-def _where_sql(cuts: list[int]) -> str:
-    """The number of a row's range: ids above the last cut are in range 0, those up to the first in the last.
-
-    The cuts below the id are counted in two levels, by groups of cuts and then within one group.
-    """
+def _cuts(keys: DataFrame, ranges: int) -> list[tuple[int, int]]:
+    """At most ``ranges`` - 1 keys that split the keys (a, h) into ranges of like size, from a sample of
+    ``SAMPLE`` a range. It decides how even the ranges are, nothing else."""
+    n = keys.count()
+    if ranges < 2 or not n:
+        return []
+    share = F.lit(min(1.0, 2.0 * SAMPLE * ranges / n))
+    picked = keys.filter(F.pmod(F.xxhash64("a", "h", F.lit("cut")), F.lit(1 << 20)) < share * (1 << 20)).limit(4 * SAMPLE * ranges).toArrow()
+    a, h = (picked.column(c).to_numpy() for c in ("a", "h"))
+    order = np.lexsort((h, a))
+    at = sorted({int(k * len(order) / ranges) for k in range(1, ranges)}) if len(order) else []
+    return sorted({(int(a[order[k]]), int(h[order[k]])) for k in at})
+
+
+def _range_of(cuts: list[tuple[int, int]]) -> Column:
+    """How many cuts are at or below (a, h). The cuts are one constant of the plan, looked up in two levels."""
     if not cuts:
-        return "0"
+        return F.lit(0)
     size = max(1, round(len(cuts) ** 0.5))
     groups = [cuts[k : k + size] for k in range(0, len(cuts), size)]
+    table = F.from_json(F.lit(json.dumps([[{"a": a, "h": h} for a, h in g] for g in groups])), "array<array<struct<a:bigint,h:bigint>>>")
+    own = F.struct("a", "h")
+    group = F.size(F.filter(table, lambda g: F.get(g, 0) <= own))  # of the groups that begin at or below, the last
+    inner = F.size(F.filter(F.get(table, F.greatest(group - 1, F.lit(0))), lambda c: c <= own))
+    return F.when(group == 0, 0).otherwise((group - 1) * size + inner).cast("int")
 
-    def array(values: list[int]) -> str:
-        return "array(" + ", ".join(f"{c}L" for c in values) + ")"
 
-    below = "aggregate({}, 0, (a, c) -> a + IF(c < i, 1, 0))"
-    heads = below.format(array([g[0] for g in groups]))
-    nested = "array(" + ", ".join(array(g) for g in groups) + ")"
-    inner = below.format(f"get({nested}, h - 1)")
-    found = f"element_at(transform(array({heads}), h -> IF(h = 0, 0, (h - 1) * {size} + {inner})), 1)"
-    return f"CAST({len(cuts)} - {found} AS INT)"
+def fingerprint_edits(docs: DataFrame, id_col: str, text_col: str, ranges: int | None = None) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row, with
+    n_distinct (estimated distinct shingles), distinct_both (of the text and its edit together, from merged
+    sketches) and kept_share (estimated share of the text's shingles that the edit has)."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "fingerprints")
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # descending ids are ascending complements, those of null ids last
+    key = F.coalesce(F.bitwise_not(F.col(id_col).cast("bigint")), F.lit((1 << 63) - 1)).alias("a")
+    rows = docs.select(key, F.xxhash64(text).alias("h"), F.col(id_col).cast("bigint").alias("i"), text.alias("t"))
+    keys = scratch.save(rows.select("a", "h"), "keys")
+    cuts = _cuts(keys, ranges)
+    rows = rows.withColumn("r", _range_of(cuts))
+    firsts = scratch.save(keys.withColumn("r", _range_of(cuts)).groupBy("r").agg(F.min(F.struct("a", "h")).alias("first")), "firsts")
+    # the range before a range also gets that range's first row; the last range gets that of the first
+    order = Window.orderBy("r")  # a row a range
+    before = firsts.select("first.a", "first.h", F.coalesce(F.lag("r").over(order), F.max("r").over(Window.partitionBy())).alias("ghost"))
+    dealt = rows.join(F.broadcast(before), ["a", "h"], "left")
+    places = F.array_compact(F.array(F.struct("r", F.lit(0).alias("g")), F.when(F.col("ghost").isNotNull(), F.struct(F.col("ghost").alias("r"), F.lit(1).alias("g")))))
+    dealt = dealt.select(F.explode(places).alias("p"), "a", "h", "i", "t").select("p.r", "p.g", "a", "h", "i", "t")
+    dealt = dealt.repartitionById(len(cuts) + 1, F.col("r")).sortWithinPartitions("r", "g", "a", "h", "t")
+    return dealt.select("r", "g", "i", "t").mapInArrow(_walk, _SCHEMA)

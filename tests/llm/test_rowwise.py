@@ -1,5 +1,6 @@
 """Operators that answer each row by itself: licences, fingerprints, token counts, language, language model."""
 
+import base64
 import hashlib
 import itertools
 import math
@@ -43,17 +44,52 @@ def test_licences_of_the_method(docs, spark, empty):
     assert licenses.scan(empty, "doc_id", "text").count() == 0
 
 
-def test_fingerprints_follow_the_order_of_ids(docs, rows, empty):
-    got = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in fingerprints.fingerprint_edits(docs, "doc_id", "text", least_ranges=7).collect())
-    order = sorted(((i, t or "") for i, t, *_ in rows), key=lambda r: (-(r[0] if r[0] is not None else -(10**18)), r[1].encode()))
+def plain_sketch(text, k=128, width=5):
+    """The k smallest 48-bit hashes of a text's distinct shingles, a word and a byte at a time in Python's integers."""
+    full = (1 << 64) - 1
+
+    def mixed(x):
+        for _ in range(2):
+            x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & full
+        return x ^ (x >> 32)
+
+    def factor(place):
+        return mixed((place + 1) * (0x9E3779B97F4A7C15 | 1) & full) | 1
+
+    lanes = [pow(0xD1342543DE82EF95, i + 1, 1 << 64) | 1 for i in range(16)]
+    words = [mixed(sum((b + 1) * factor(k) for k, b in enumerate(w)) & full) for w in lowered(text)]
+    if len(words) >= width:
+        found = {mixed(sum(w * x for w, x in zip(words[i : i + width], lanes, strict=False)) & full) for i in range(len(words) - width + 1)}
+    else:
+        found = {mixed((sum(w * x for w, x in zip(words, lanes, strict=False)) & full) ^ len(words))} if words else set()
+    return sorted({x >> 16 for x in found})[:k], len({x >> 16 for x in found})
+
+
+def shared_of(a, b, k=128):
+    """Jaccard estimate of two plain sketches."""
+    if not a or not b:
+        return float(a == b)
+    union = sorted({*a, *b})[:k]
+    return sum(x in set(a) and x in set(b) for x in union) / len(union)
+
+
+def test_fingerprints_follow_the_order_of_ids(spark, docs, rows, empty):
+    hashed = {r["text"]: r["h"] for r in docs.selectExpr("text", "xxhash64(coalesce(text, '')) AS h").distinct().collect()}
+    order = sorted(((i, t or "") for i, t, *_ in rows), key=lambda r: (-(r[0] if r[0] is not None else -(10**18)), hashed.get(r[1], hashed[None])))
     want = Counter()
     for k, (i, t) in enumerate(order):
         following = order[(k + 1) % len(order)][1]
         half = len(t) // 2
         e = t[: len(t) - half] + following[:half]
-        a, b, c = (fingerprints.sketches([x.encode()])[0] for x in (t, e, following))
-        want[(i, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprints.dumps(a), round(fingerprints.resemblance(a, b), 9), round(fingerprints.resemblance(a, c), 9))] += 1
-    assert got == want
+        (a, n), (b, _), (c, _) = (plain_sketch(x) for x in (t, e, following))
+        want[(i, len(t), hashlib.sha256(e.encode()).hexdigest(), b"".join(x.to_bytes(6, "big") for x in a), round(shared_of(a, b), 9), round(shared_of(a, c), 9), n if n < 128 else None)] += 1
+    for ranges in (1, 7, 40):
+        got = Counter()
+        for r in fingerprints.fingerprint_edits(docs, "doc_id", "text", ranges=ranges).collect():
+            n = r["n_distinct"]
+            got[(r["doc_id"], r["n_chars"], r["edited_sha256"], base64.b64decode(r["fingerprint"]), round(r["near_edited"], 9), round(r["near_next"], 9), int(n) if len(base64.b64decode(r["fingerprint"])) < 6 * 128 else None)] += 1
+            assert 0 <= r["kept_share"] <= 1 and r["distinct_both"] >= 0
+        assert got == want
     assert fingerprints.fingerprint_edits(empty, "doc_id", "text").count() == 0
     assert fingerprints.fingerprint_edits(docs.filter("doc_id = 4"), "doc_id", "text").first()["near_next"] == 1.0
 
