@@ -14,11 +14,14 @@ weight, and within a block the order is by the same hash. By default the budget
 every document appears at least once, so mixing repeats documents of small sources and drops none.
 
 Places come from token sums of hash buckets of about ``BUCKET_ROWS`` rows and from sums within buckets, so a
-source with a third of all rows is spread over many tasks.
+source with a third of all rows is spread over many tasks. Rows of one source that are equal in id and size are
+counted first and are one row in all sums; they are dealt out again at the end, one after the other along the
+mixture, so neither a sum nor a block holds them all.
 
 Defined cases: a null source is the source of the empty name, a null text has no tokens; documents without
 tokens and sources without tokens appear in whole passes only; equal hashes are ordered by id, nulls first;
-rows that repeat an id and size have one place, so the last pass takes all or none of them; other columns of any name are ignored; an empty
+of rows that repeat an id and size, the last pass takes all or none, and those without tokens go to one
+block after the other, ``BUCKET_ROWS`` to each; other columns of any name are ignored; an empty
 table gives an empty result.
 """
 
@@ -108,19 +111,19 @@ def _with_passes(weighed: DataFrame) -> DataFrame:
 
 
 def _placed(slim: DataFrame, sources: DataFrame) -> DataFrame:
-    """Every document in every pass, with the tokens before it: source, doc_id, n_tokens, turn, u, before, copy."""
+    """Every document in every pass, with the tokens before it: source, doc_id, n_tokens, m (equal rows), turn, u, before."""
+    slim = slim.groupBy("source", "doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("m"))
     turns = F.sequence(F.lit(0).cast("bigint"), F.col("whole") - F.when(F.col("left") > 0, 0).otherwise(1))
     rows = slim.join(sources, "source").filter((F.col("whole") > 0) | (F.col("left") > 0)).withColumn("turn", F.explode(turns))
     rows = rows.withColumn("u", place(F.col("doc_id"), F.col("turn")))
     buckets = F.ceil(F.col("n") / BUCKET_ROWS)
     rows = rows.withColumn("bucket", F.shiftright(F.col("u") * buckets, BITS))
-    sums = rows.groupBy("source", "turn", "bucket").agg(F.sum("n_tokens").alias("bt"))
+    held = F.col("n_tokens") * F.col("m")
+    sums = rows.groupBy("source", "turn", "bucket").agg(F.sum(held).alias("bt"))
     along = Window.partitionBy("source", "turn").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.select("source", "turn", "bucket", (F.sum("bt").over(along) - F.col("bt")).alias("base"))
-    # equal rows have one place: both sums run over all of them
-    within = Window.partitionBy("source", "turn", "bucket").orderBy("u", "doc_id", "n_tokens").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    equal = Window.partitionBy("source", "turn", "bucket", "u", "doc_id", "n_tokens")
-    rows = rows.withColumn("inner", F.sum("n_tokens").over(within) - F.sum("n_tokens").over(equal))
+    within = Window.partitionBy("source", "turn", "bucket").orderBy("u", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("inner", F.sum(held).over(within) - held)
     return rows.join(sums, ["source", "turn", "bucket"]).withColumn("before", F.col("base") + F.col("inner"))
 
 
@@ -138,8 +141,11 @@ def mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, entropy: f
     blocks = max(1, math.ceil(total / block_tokens))
     rows = _placed(slim, weighed)
     rows = rows.filter((F.col("turn") < F.col("whole")) | (F.col("before") < F.col("left")))
-    share = F.when(F.col("quota") > 0, (F.col("turn") * F.col("t") + F.col("before")) / F.col("quota")).otherwise(F.col("u") / F.lit(float(1 << BITS)))
-    rows = rows.withColumn("block", F.least(F.floor(share * blocks), F.lit(blocks - 1)).cast("bigint"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)))  # equal rows again
+    reach = F.col("before") + F.col("j") * F.col("n_tokens")
+    share = F.when(F.col("quota") > 0, (F.col("turn") * F.col("t") + reach) / F.col("quota")).otherwise(F.col("u") / F.lit(float(1 << BITS)))
+    beyond = F.when(F.col("n_tokens") == 0, F.floor(F.col("j") / BUCKET_ROWS)).otherwise(0)
+    rows = rows.withColumn("block", F.pmod(F.least(F.floor(share * blocks), F.lit(blocks - 1)) + beyond, F.lit(blocks)).cast("bigint"))
     order = Window.partitionBy("block").orderBy("u", "source", "doc_id", "turn", "n_tokens")
     return rows.select("doc_id", "source", "n_tokens", "turn", "block", (F.row_number().over(order) - 1).cast("bigint").alias("slot"))
 
