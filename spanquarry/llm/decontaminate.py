@@ -8,7 +8,9 @@ share alone, so one number serves items of all sizes; an item of no more shingle
 document and item that meets is verified by exact containment of the shingles themselves, as words.
 
 The documents are read once and not shuffled. The index is a set of at most ``LITERAL`` numbers inside the
-plan where the items are that few; beyond it the documents' shingles are joined with the index by hash.
+plan where the items are that few, and the postings that are shipped hold numbers alone; beyond it the documents'
+shingles are joined with the index by hash. The items' shingles, of any length, meet the pairs that are left by
+a join on the item, shipped only if they have at most ``MOST_BYTES``. The index is computed and written once.
 
 Defined cases: an item without words is found nowhere; one of fewer words than a shingle is one shingle of
 its own width; a null text has no shingles; rows that repeat an id give a row each per item, equal rows
@@ -22,9 +24,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanquarry.llm.storage import Scratch
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MISS = 1e-9
 LITERAL = 20_000
+MOST_BYTES = 8 << 20
 
 
 def _words(text: str) -> Column:
@@ -60,19 +65,21 @@ def contained(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, ite
 
 def _meeting(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, width: int, percent: int, literal: int) -> DataFrame:
     """row, item_id, n_shared and n_item of the verified pairs, from (row, t)."""
-    indexed = index(items, item_id, item_text, width, percent)
-    sizes = {r["width"]: r["n"] for r in indexed.groupBy("width").agg(F.sum(F.size("anchors")).alias("n")).collect()}
-    parts = [_of_width(docs, indexed.filter(F.col("width") == w), w, percent, n <= literal) for w, n in sorted(sizes.items())]
+    indexed = Scratch(docs.sparkSession, "decontamination").save(index(items, item_id, item_text, width, percent).withColumn("item", F.monotonically_increasing_id()), "index")
+    text = F.aggregate("shingles", F.lit(0).cast("bigint"), lambda a, s: a + F.length(s) + 32)
+    sizes = {r["width"]: r for r in indexed.groupBy("width").agg(F.sum(F.size("anchors")).alias("n"), F.sum(text).alias("b")).collect()}
+    parts = [_of_width(docs, indexed.filter(F.col("width") == w), w, percent, r["n"] <= literal, r["b"] <= MOST_BYTES) for w, r in sorted(sizes.items())]
     if not parts:
-        return _of_width(docs, indexed, width, percent, False)
+        return _of_width(docs, indexed, width, percent, False, False)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _of_width(docs: DataFrame, indexed: DataFrame, width: int, percent: int, few: bool) -> DataFrame:
-    postings = indexed.select(F.explode_outer("anchors").alias("h"), "item_id", "shingles", "anchors")
+def _of_width(docs: DataFrame, indexed: DataFrame, width: int, percent: int, few: bool, short: bool) -> DataFrame:
+    postings = indexed.select(F.explode_outer("anchors").alias("h"), "item", "anchors")
+    known = indexed.select("item", "item_id", "shingles")
     cut = docs.select("row", _words("t").alias("w"))
     hashed = cut.select("row", "w", _runs(F.col("w"), width, F.xxhash64).alias("all"))
     if few:
@@ -82,13 +89,13 @@ def _of_width(docs: DataFrame, indexed: DataFrame, width: int, percent: int, few
         met = hashed.select("row", "w", hits.alias("hits"))
         met = met.select("row", "w", "hits", F.explode_outer("hits").alias("h")).join(F.broadcast(postings), "h")
         # the pair's first common hash stands for it
-        met = met.filter(F.col("h") == F.array_min(F.array_intersect("anchors", "hits")))
+        met = met.filter(F.col("h") == F.array_min(F.array_intersect("anchors", "hits"))).select("row", "w", "item")
     else:
         # the index is too large to ship: look the shingles up by a join, one row a document and item
         keyed = hashed.withColumn("id", F.xxhash64(F.to_json("row"), F.array_join("w", " ")))
-        looked = keyed.select("id", F.explode_outer(F.array_distinct("all")).alias("h")).join(postings.select("h", "item_id"), "h")
-        pairs = looked.select("id", "item_id").distinct()
-        met = keyed.select("id", "row", "w").join(pairs, "id").join(indexed.select("item_id", "shingles").distinct(), "item_id")
+        looked = keyed.select("id", F.explode_outer(F.array_distinct("all")).alias("h")).join(postings.select("h", "item"), "h")
+        met = keyed.select("id", "row", "w").join(looked.select("id", "item").distinct(), "id")
+    met = met.join(F.broadcast(known) if short else known, "item")
     texts = F.array_distinct(_runs(F.col("w"), width, lambda run: F.array_join(run, " ")))
     shared = F.size(F.array_intersect(texts, F.col("shingles"))).cast("bigint")
     out = met.select("row", "item_id", shared.alias("n_shared"), F.size("shingles").cast("bigint").alias("n_item"))

@@ -1,62 +1,5 @@
-"""Intermediate tables in the folder that the driver and all executors share.
+"""Intermediate tables of this subpackage: those of the whole library, see ``sources.shared``."""
 
-A written table cuts the lineage: what a lost executor held of it can be read again by any other.
-"""
+from spanquarry.sources.shared import BATCH_ROWS, Scratch, shared_dir, small_batches
 
-from __future__ import annotations
-
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where that is unset (tests) a folder of our own."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spanquarry.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spanquarry-")
-        spark.conf.set("spanquarry.shared.dir", found)
-        atexit.register(_remove_local, found[7:])
-    return found.rstrip("/")
-
-
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to at most ``BATCH_ROWS`` rows: whole texts make the default of 10,000
-    rows tens of MB, held by the JVM and by the worker of every task at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
-
-
-def _remove_local(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
-
-
-class Scratch:
-    """Tables of one query below one folder of the shared directory."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        small_batches(spark)
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` as Parquet and returns the table read back."""
-        self.count += 1
-        path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop_all(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["BATCH_ROWS", "Scratch", "shared_dir", "small_batches"]

@@ -135,9 +135,10 @@ def contained(rows, items, percent=80):
     return out
 
 
-def test_decontamination_against_all_pairs(docs, rows, items, empty):
+def test_decontamination_against_all_pairs(docs, rows, items, empty, monkeypatch):
     pairs = [(r["item_id"], r["text"]) for r in items.collect()]
-    for literal in (decontaminate.LITERAL, 0):
+    for literal, most in ((decontaminate.LITERAL, 8 << 20), (decontaminate.LITERAL, 0), (0, 8 << 20)):
+        monkeypatch.setattr(decontaminate, "MOST_BYTES", most)
         got = {tuple(r)[:4] for r in decontaminate.contained(docs, "doc_id", "text", items, "item_id", "text", literal=literal).collect()}
         assert got == contained(rows, pairs)
     assert (3, 1) in {g[:2] for g in got} and (81, 5) in {g[:2] for g in got}
@@ -251,6 +252,21 @@ def test_mixture_against_plain_sums(docs, rows, empty):
     assert mixing.mix(empty, "doc_id", "text", "source").count() == 0 and mixing.apply(empty, "doc_id", "text", "source").count() == 0
 
 
+def test_equal_rows_are_spread_over_a_mixture(spark):
+    """Many rows of one id, with and without tokens, stay whole and fill no block alone."""
+    rows = [(None, "a b c d", "x")] * 300 + [(None, "", "x")] * 200 + [(k, "one two three", "y") for k in range(100)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    got = mixing.mix(table, "doc_id", "text", "source", block_tokens=100).collect()
+    assert {r["doc_id"] for r in got} == {None, *range(100)} and len(got) >= len(rows)
+    assert Counter(r["doc_id"] for r in got if r["n_tokens"] == 0)[None] % 200 == 0
+    blocks = Counter(r["block"] for r in got if r["n_tokens"])
+    assert max(blocks.values()) < 60 and len(blocks) > 10
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["block"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_exponent_meets_its_targets(spark):
     sizes = [1000, 300, 50, 10]
     table = spark.createDataFrame([(f"s{k}", t) for k, t in enumerate(sizes)], "source string, t bigint")
