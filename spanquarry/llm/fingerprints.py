@@ -6,8 +6,8 @@ texts and the containment of one in another. Shingles are runs of five words (a
 shingle), words are runs other than ASCII white space with A-Z lowered.
 
 ``fingerprint_edits`` compares every text with an edit of it that borrows from the next document. Documents
-are dealt to as many ranges of (descending id, hash of the text) as the session has shuffle partitions, once, and
-the first document of each range is also dealt to the range before it, so that every document meets its next one
+are dealt to ranges of (descending id, hash of the text) once, as many as the session has shuffle partitions and
+one for every ``ROWS_PER_RANGE`` documents at least, and the first document of each range is also dealt to the range before it, so that every document meets its next one
 in a task that holds a few rows at a time. Rows that share an id, or have none, are split between ranges by
 their texts' hashes. The ranges' limits come from a bounded sample of the keys, of which the driver holds two
 numbers a row; which row begins a range reaches the documents by a join with a row a range.
@@ -37,6 +37,7 @@ K = 128
 WIDTH = 5
 BITS = 48
 SAMPLE = 20
+ROWS_PER_RANGE = 1 << 16
 
 
 def sketches(texts: list[bytes], k: int = K, width: int = WIDTH) -> list[np.ndarray]:
@@ -143,11 +144,10 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(pending)
 
 
-def _cuts(keys: DataFrame, ranges: int) -> list[tuple[int, int]]:
-    """At most ``ranges`` - 1 keys that split the keys (a, h) into ranges of like size, from a sample of
+def _cuts(keys: DataFrame, n: int, ranges: int) -> list[tuple[int, int]]:
+    """At most ``ranges`` - 1 keys that split the ``n`` keys (a, h) into ranges of like size, from a sample of
     ``SAMPLE`` a range. It decides how even the ranges are, nothing else."""
-    n = keys.count()
-    if ranges < 2 or not n:
+    if ranges < 2:
         return []
     share = F.lit(min(1.0, 2.0 * SAMPLE * ranges / n))
     picked = keys.filter(F.pmod(F.xxhash64("a", "h", F.lit("cut")), F.lit(1 << 20)) < share * (1 << 20)).limit(4 * SAMPLE * ranges).toArrow()
@@ -176,13 +176,13 @@ def fingerprint_edits(docs: DataFrame, id_col: str, text_col: str, ranges: int |
     sketches) and kept_share (estimated share of the text's shingles that the edit has)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "fingerprints")
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     # descending ids are ascending complements, those of null ids last
     key = F.coalesce(F.bitwise_not(F.col(id_col).cast("bigint")), F.lit((1 << 63) - 1)).alias("a")
     rows = docs.select(key, F.xxhash64(text).alias("h"), F.col(id_col).cast("bigint").alias("i"), text.alias("t"))
     keys = scratch.save(rows.select("a", "h"), "keys")
-    cuts = _cuts(keys, ranges)
+    n = keys.count()
+    cuts = _cuts(keys, max(n, 1), ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_PER_RANGE)))
     rows = rows.withColumn("r", _range_of(cuts))
     firsts = scratch.save(keys.withColumn("r", _range_of(cuts)).groupBy("r").agg(F.min(F.struct("a", "h")).alias("first")), "firsts")
     # the range before a range also gets that range's first row; the last range gets that of the first
