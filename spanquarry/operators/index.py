@@ -30,22 +30,32 @@ def _before(content: Column, off: Column) -> Column:
 
 
 def suffix_order(data: bytes) -> np.ndarray:
-    """The suffix array with the empty suffix first, by prefix doubling."""
+    """The suffix array with the empty suffix first, by prefix doubling from seven bytes on.
+
+    A rank is the first row of its group. Only groups of several suffixes are sorted again; theirs are no
+    shorter than ``width``, as the end of the document differs from every byte.
+    """
     n = len(data)
-    rank = np.zeros(n + 1, dtype=np.int64)
-    rank[:n] = np.frombuffer(data, dtype=np.uint8).astype(np.int64) + 1
-    width = 1
-    order = np.argsort(rank, kind="stable")
+    symbols = np.zeros(n + 7, dtype=np.int64)
+    symbols[:n] = np.frombuffer(data, dtype=np.uint8).astype(np.int64) + 1
+    key = np.zeros(n + 1, dtype=np.int64)
+    for k in range(7):
+        key = key * 257 + symbols[k : k + n + 1]
+    order = np.argsort(key, kind="stable")
+    rows, width = np.arange(n + 1), 7
+    rank = np.empty(n + 1, dtype=np.int64)
+    key = key[order]
     while True:
-        second = np.zeros(n + 1, dtype=np.int64)
-        second[: max(n + 1 - width, 0)] = rank[width:] + 1 if width <= n else second[:0]
-        key = rank * (n + 300) + second
-        order = np.argsort(key, kind="stable")
-        new = np.zeros(n + 1, dtype=np.int64)
-        new[order[1:]] = np.cumsum(key[order[1:]] != key[order[:-1]])
-        rank = new
-        if rank[order[-1]] == n or width > n:
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[order[rows]] = rows[np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))]
+        rows = rows[~(first & np.concatenate([first[1:], [True]]))]
+        if not len(rows):
             return order
+        own = order[rows]
+        key = rank[own] * (n + 1) + rank[own + width]
+        by = np.argsort(key, kind="stable")
+        order[rows] = own[by]
+        key = key[by]
         width *= 2
 
 
@@ -54,30 +64,59 @@ def suffixes_long(corpus: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = bytes(content or b"")
+            for at in range(batch.num_rows):
+                data = batch.column(1)[at].as_py() or b""
                 order = suffix_order(data)
-                symbols = np.frombuffer(data, dtype=np.uint8).astype(np.int32)
-                bwt = np.where(order == 0, SENTINEL, symbols[order - 1] if len(data) else 0)
                 n = len(order)
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array(np.arange(n)), pa.array(order), pa.array(bwt.astype(np.int32))], names=["doc_id", "sa_row", "off", "bwt"])
+                ids = batch.column(0).take(pa.array(np.full(n, at)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(n)), pa.array(order), pa.array(_symbols_before(data, order))], names=["doc_id", "sa_row", "off", "bwt"])
 
     return corpus.select("doc_id", "content").mapInArrow(run, "doc_id bigint, sa_row bigint, off bigint, bwt int")
 
 
+def _symbols_before(data: bytes, off: np.ndarray) -> np.ndarray:
+    symbols = np.concatenate([[SENTINEL], np.frombuffer(data, dtype=np.uint8)]).astype(np.int32)
+    return symbols[off]
+
+
+def _violations(table: DataFrame, corpus: DataFrame, wrong) -> DataFrame:
+    """(doc_id, sa_row) of the rows that ``wrong`` (content, offsets, symbols, in row order) marks, a document at a time.
+
+    A document's content meets its rows once; it is not carried by every row.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"doc_id": pa.array([], pa.int64()), "sa_row": pa.array([], pa.int64())})
+        left = left.sort_by("sa_row")
+        bad = wrong(right.column("content")[0].as_py() or b"", left.column("off").to_numpy(), left.column("bwt").to_numpy())
+        return left.select(["doc_id", "sa_row"]).filter(pa.array(bad))
+
+    rows = table.select("doc_id", "sa_row", "off", F.coalesce("bwt", F.lit(-1)).alias("bwt"))
+    return rows.groupBy("doc_id").cogroup(corpus.select("doc_id", "content").groupBy("doc_id")).applyInArrow(run, "doc_id bigint, sa_row bigint")
+
+
 def order_violations(table: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Rows whose suffix is not above that of the row before, or whose offset is outside the document."""
-    rows = table.join(corpus.select("doc_id", "content"), "doc_id")
-    own = F.substring(F.col("content"), F.col("off").cast("int") + 1, F.length("content"))
-    rows = rows.select("doc_id", "sa_row", "off", own.alias("suffix"), F.length("content").alias("n"))
-    prior = F.lag("suffix").over(Window.partitionBy("doc_id").orderBy("sa_row"))
-    return rows.withColumn("prior", prior).filter((F.col("prior") >= F.col("suffix")) | (F.col("off") < 0) | (F.col("off") > F.col("n"))).select("doc_id", "sa_row")
+    """Rows whose suffix is not above that of the row before, or whose offset is outside the document (an empty suffix)."""
+
+    def wrong(data: bytes, off: np.ndarray, _: np.ndarray) -> np.ndarray:
+        place = np.empty(len(data) + 1, dtype=np.int64)
+        place[suffix_order(data)] = np.arange(len(data) + 1)
+        outside = (off < 0) | (off > len(data))
+        own = place[np.where(outside, len(data), off)]
+        return outside | np.concatenate([[False], own[1:] <= own[:-1]])
+
+    return _violations(table, corpus, wrong)
 
 
 def bwt_violations(table: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Rows whose symbol is not the byte before their offset."""
-    rows = table.join(corpus.select("doc_id", "content"), "doc_id")
-    return rows.filter(~F.col("bwt").eqNullSafe(_before(F.col("content"), F.col("off")))).select("doc_id", "sa_row")
+    """Rows whose symbol is not the byte before their offset, or whose offset is outside the document."""
+
+    def wrong(data: bytes, off: np.ndarray, bwt: np.ndarray) -> np.ndarray:
+        outside = (off < 0) | (off > len(data))
+        return outside | (bwt != _symbols_before(data, np.where(outside, 0, off)))
+
+    return _violations(table, corpus, wrong)
 
 
 def c_table(table: DataFrame) -> DataFrame:

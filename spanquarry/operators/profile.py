@@ -14,6 +14,8 @@ from spanquarry.sources.corpus import chunks
 from spanquarry.sources.shared import saved
 
 KB64, KB900, MB4 = 64 * 1024, 900 * 1024, 4 * 1024 * 1024
+LENGTHS = (8, 12, 16, 24, 32)  # fixed values: the gram lengths of the repeat profiles
+MOST_GROUPS = 512
 
 
 def histogram(corpus: DataFrame) -> DataFrame:
@@ -61,38 +63,59 @@ def chunk_entropy(corpus: DataFrame, size: int) -> DataFrame:
     return e.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg("e"), 6).alias("mean"), F.min("e").alias("least"), F.max("e").alias("most"), F.round(F.max("e") - F.min("e"), 6).alias("range"), first.alias("first"))
 
 
-def _distances(corpus: DataFrame, k: int, stride: int) -> DataFrame:
-    g = grams(corpus, k, stride, ("doc_id",), "content")
-    f = g.groupBy("doc_id", "sig").agg(F.count(F.lit(1)).alias("f"))
-    lead = F.lead("pos").over(Window.partitionBy("doc_id", "sig").orderBy("pos"))
-    return g.join(f.filter("f >= 2"), ["doc_id", "sig"]).withColumn("distance", lead - F.col("pos"))
+def _frequencies(corpus: DataFrame, lengths: tuple[int, ...], stride: int) -> tuple[DataFrame, DataFrame]:
+    """The grams (doc_id, k, pos, sig) of all lengths and how often each is in its document (doc_id, k, sig, f)."""
+    g = None
+    for k in lengths:
+        one = grams(corpus, k, stride, ("doc_id",), "content").withColumn("k", F.lit(k))
+        g = one if g is None else g.unionByName(one)
+    return g, g.groupBy("doc_id", "k", "sig").agg(F.count(F.lit(1)).alias("f"))
+
+
+def _distances(g: DataFrame, f: DataFrame) -> DataFrame:
+    lead = F.lead("pos").over(Window.partitionBy("doc_id", "k", "sig").orderBy("pos"))
+    return g.join(f.filter("f >= 2"), ["doc_id", "k", "sig"]).withColumn("distance", lead - F.col("pos"))
+
 
+def _by_length(corpus: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    return corpus.select("doc_id", F.length("content").alias("n"), F.explode(F.array(*map(F.lit, lengths))).alias("k"))
 
-def repeat_profile(corpus: DataFrame, k: int, stride: int = 32, most: int = 512) -> DataFrame:
-    """(doc_id, anchors, pairs, median, far, near) of grams that repeat 2 to ``most`` times."""
-    d = _distances(corpus, k, stride).filter(F.col("f") <= most)
-    return d.groupBy("doc_id").agg(
+
+def repeat_profile(corpus: DataFrame, lengths: tuple[int, ...] = LENGTHS, stride: int = 32, most: int = 512) -> DataFrame:
+    """(doc_id, k, anchors, pairs, median, far, near) of grams of k bytes that repeat 2 to ``most`` times."""
+    d = _distances(*_frequencies(corpus, lengths, stride)).filter(F.col("f") <= most)
+    found = d.groupBy("doc_id", "k").agg(
         F.countDistinct("sig").alias("anchors"), F.count("distance").alias("pairs"), F.percentile("distance", 0.5).alias("median"),
         F.round(F.avg((F.col("distance") > KB900).cast("double")), 6).alias("far"), F.round(F.avg((F.col("distance") <= KB64).cast("double")), 6).alias("near"),
     )
+    return _by_length(corpus, lengths).drop("n").join(found, ["doc_id", "k"], "left").na.fill(0, ["anchors", "pairs", "far", "near"])
 
 
-def full_distance_profile(corpus: DataFrame, k: int, stride: int = 32, most: int = 512) -> DataFrame:
-    """The measures of all and of useful repeats of one gram length, by document."""
-    g = grams(corpus, k, stride, ("doc_id",), "content").groupBy("doc_id", "sig").agg(F.count(F.lit(1)).alias("f"))
-    useful = F.col("f").between(2, most)
-    keys = g.groupBy("doc_id").agg(
-        F.sum("f").alias("sampled"), F.count(F.lit(1)).alias("unique"), F.count(F.when(F.col("f") >= 2, 1)).alias("repeated"), F.count(F.when(useful, 1)).alias("useful"),
-        F.round(F.coalesce(F.sum(F.when(F.col("f") >= 2, F.col("f"))), F.lit(0)) / F.sum("f"), 6).alias("repeated_share"),
+def full_distance_profile(corpus: DataFrame, lengths: tuple[int, ...] = LENGTHS, stride: int = 32, most: int = 512) -> DataFrame:
+    """21 measures of all and of useful repeats, by document and gram length; without pairs the percentiles are null."""
+    g, f = _frequencies(corpus, lengths, stride)
+    again, useful = F.col("f") >= 2, F.col("f").between(2, most)
+    keys = f.groupBy("doc_id", "k").agg(
+        F.count(F.lit(1)).alias("unique"), F.count(F.when(again, 1)).alias("repeated"), F.count(F.when(useful, 1)).alias("useful"),
+        F.coalesce(F.sum(F.when(again, F.col("f"))), F.lit(0)).alias("places"),
     )
-    d = saved(_distances(corpus, k, stride).filter("distance IS NOT NULL"), "distances")
-    far = [(name, F.col("distance") > limit) for name, limit in (("far900k", KB900), ("far4m", MB4))] + [("near64k", F.col("distance") <= KB64)]
-    ok = F.col("f") <= most
-    pairs = d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"), *(F.round(F.avg(c.cast("double")), 6).alias(n) for n, c in far))
-    every = values_at(d, ["doc_id"], "distance", {"p50": nearest_place(0.5), "p90": nearest_place(0.9)}).drop("least", "most")
-    some = values_at(d.filter(ok), ["doc_id"], "distance", {"useful_p99": nearest_place(0.99)}).drop("least", "most")
-    found = pairs.join(every, "doc_id").join(some, "doc_id", "left")
-    return keys.join(found.select("doc_id", "pairs", "p50", "p90", "useful_p99", *(n for n, _ in far)), "doc_id", "left")
+    d = saved(_distances(g, f).filter("distance IS NOT NULL").select("doc_id", "k", "f", "distance"), "distances")
+
+    def figures(rows: DataFrame, mark: str, places: dict[str, float]) -> DataFrame:
+        far, near = F.avg((F.col("distance") > KB900).cast("double")), F.avg((F.col("distance") <= KB64).cast("double"))
+        shares = {"far900k": far, "far4m": F.avg((F.col("distance") > MB4).cast("double")), "near64k": near, "far_to_near": far / F.greatest(F.lit(1e-12), near)}
+        sums = rows.groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias(f"{mark}pairs"), *(F.round(c, 6).alias(mark + n) for n, c in shares.items()))
+        return sums.join(values_at(rows, ["doc_id", "k"], "distance", {mark + n: nearest_place(q) for n, q in places.items()}).drop("least", "most"), ["doc_id", "k"])
+
+    every = figures(d, "", {"p50": 0.5, "p90": 0.9}).drop("far_to_near")
+    some = figures(d.filter(F.col("f") <= most), "useful_", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    rows = _by_length(corpus, lengths)
+    for part in (keys, every, some):
+        rows = rows.join(part, ["doc_id", "k"], "left")
+    rows = rows.na.fill(0, [c for c in rows.columns if not c.endswith(("p50", "p90", "p99"))])
+    sampled = F.greatest(F.lit(1), F.floor((F.col("n") - F.col("k") + stride) / stride))
+    share = {"repeat_key_share": F.col("repeated") / F.greatest(F.col("unique"), F.lit(1)), "useful_key_share": F.col("useful") / F.greatest(F.col("unique"), F.lit(1)), "repeated_share": F.col("places") / sampled}
+    return rows.select("*", sampled.alias("sampled"), *(F.round(c, 6).alias(n) for n, c in share.items())).drop("n", "places")
 
 
 def sampled_distances(corpus: DataFrame, length: int, share: int) -> DataFrame:
@@ -150,16 +173,24 @@ def stumps(table: DataFrame, id_col: str, label_col: str, features: list[str]) -
 
     Values are counted by label first; sums over the ordered values give all thresholds of a feature at once.
     """
-    long = table.select(id_col, F.col(label_col).alias("y"), *features).unpivot([id_col, "y"], features, "feature", "value").filter("value IS NOT NULL")
-    by_value = long.groupBy("feature", "value").agg(F.sum(F.col("y").cast("bigint")).alias("ones"), F.count(F.lit(1)).alias("n"))
-    up = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy("feature")
-    s = by_value.select("feature", "value", "ones", "n", F.sum("ones").over(up).alias("ones_le"), F.sum("n").over(up).alias("n_le"), F.sum("ones").over(every).alias("ones_all"), F.sum("n").over(every).alias("total"))
+    return _rules(_by_value(table, label_col, features, []), [])
+
+
+def _by_value(table: DataFrame, label_col: str, features: list[str], keys: list[str]) -> DataFrame:
+    """(*keys, feature, value, ones, n): rows of each value, and how many of them have label 1."""
+    long = table.select(*keys, F.col(label_col).alias("y"), *features).unpivot([*keys, "y"], features, "feature", "value").filter("value IS NOT NULL")
+    return long.groupBy(*keys, "feature", "value").agg(F.sum(F.col("y").cast("bigint")).alias("ones"), F.count(F.lit(1)).alias("n"))
+
+
+def _rules(by_value: DataFrame, keys: list[str]) -> DataFrame:
+    every = Window.partitionBy(*keys, "feature")
+    up = every.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = by_value.select(*keys, "feature", "value", "ones", "n", F.sum("ones").over(up).alias("ones_le"), F.sum("n").over(up).alias("n_le"), F.sum("ones").over(every).alias("ones_all"), F.sum("n").over(every).alias("total"))
     below_zeros = (F.col("n_le") - F.col("n")) - (F.col("ones_le") - F.col("ones"))
     ge = (F.col("ones_all") - F.col("ones_le") + F.col("ones")) + below_zeros
     le = F.col("ones_le") + (F.col("total") - F.col("n_le")) - (F.col("ones_all") - F.col("ones_le"))
     rules = F.explode(F.array(F.struct(F.lit("ge").alias("direction"), ge.alias("correct")), F.struct(F.lit("le").alias("direction"), le.alias("correct"))))
-    return s.select("feature", F.col("value").alias("threshold"), "total", rules.alias("r")).select("feature", "r.direction", "threshold", "r.correct", "total")
+    return s.select(*keys, "feature", F.col("value").alias("threshold"), "total", rules.alias("r")).select(*keys, "feature", "r.direction", "threshold", "r.correct", "total")
 
 
 def best_stump(rules: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -168,16 +199,25 @@ def best_stump(rules: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return rules.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
 
 
-def leave_one_group_out(table: DataFrame, id_col: str, label_col: str, features: list[str], group_col: str, groups: list) -> DataFrame:
-    """(group, feature, direction, threshold, correct, total): rules learned without a group, tried on it."""
-    out = None
-    for g in groups:
-        rule = best_stump(stumps(table.filter(F.col(group_col) != g), id_col, label_col, features)).select("feature", "direction", "threshold")
-        held = table.filter(F.col(group_col) == g).select(id_col, F.col(label_col).alias("y"), *features).unpivot([id_col, "y"], features, "feature", "value")
-        said = F.when(F.col("direction") == "ge", F.col("value") >= F.col("threshold")).otherwise(F.col("value") <= F.col("threshold"))
-        one = held.join(F.broadcast(rule), "feature").groupBy("feature", "direction", "threshold").agg(F.sum((said.cast("int") == F.col("y")).cast("bigint")).alias("correct"), F.count(F.lit(1)).alias("total")).withColumn("held", F.lit(g))
-        out = one if out is None else out.unionByName(one)
-    return out
+def leave_one_group_out(table: DataFrame, label_col: str, features: list[str], group_col: str) -> DataFrame:
+    """(held, feature, direction, threshold, correct, total): rules learned without a group, tried on it.
+
+    The groups are those of the data, at most ``MOST_GROUPS`` (more are refused); rows without one are neither
+    learned from nor tried. Values are counted by group first, and the counts are dealt to the other groups.
+    """
+    known = table.filter(F.col(group_col).isNotNull()).withColumn("held", F.col(group_col))
+    groups = [r[0] for r in known.select("held").distinct().limit(MOST_GROUPS + 1).collect()]
+    if len(groups) > MOST_GROUPS:
+        raise ValueError("TOO_MANY_GROUPS")
+    counts = saved(_by_value(known, label_col, features, ["held"]), "by-group")
+    names = F.array(*map(F.lit, groups)).cast(f"array<{known.schema['held'].dataType.simpleString()}>")
+    others = counts.select(F.explode(F.filter(names, lambda g: g != F.col("held"))).alias("held"), "feature", "value", "ones", "n")
+    learned = others.groupBy("held", "feature", "value").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"))
+    rule = best_stump(_rules(learned, ["held"]), ["held"]).select("held", "feature", "direction", "threshold")
+    tried = counts.join(F.broadcast(rule), ["held", "feature"])
+    said = F.when(F.col("direction") == "ge", F.col("value") >= F.col("threshold")).otherwise(F.col("value") <= F.col("threshold"))
+    right = F.when(said, F.col("ones")).otherwise(F.col("n") - F.col("ones"))
+    return tried.groupBy("held", "feature", "direction", "threshold").agg(F.sum(right).alias("correct"), F.sum("n").alias("total"))
 
 
 def parameters(size: Column) -> Column:

@@ -155,9 +155,11 @@ def _ranks(spark, d):
     return t.withColumn("rank", F.when(F.col("rank") <= 20, F.col("rank")))
 
 
-@query(RANKS + f"c AS (SELECT [a.t, b.t] AS templates FROM (SELECT DISTINCT template AS t FROM r) a, (SELECT DISTINCT template AS t FROM r) b WHERE a.t < b.t), e AS (SELECT templates, unnest(templates) AS template FROM c), b AS (SELECT templates, query_id, min(rank) AS rank FROM e JOIN r USING (template) GROUP BY ALL) SELECT templates, {METRICS} FROM b GROUP BY templates")
+@query(RANKS + f"n AS (SELECT DISTINCT template AS t FROM r), c AS (SELECT [a.t, b.t] AS templates FROM n a, n b WHERE a.t < b.t UNION ALL SELECT [a.t, b.t, c.t] FROM n a, n b, n c WHERE a.t < b.t AND b.t < c.t), e AS (SELECT templates, unnest(templates) AS template FROM c), b AS (SELECT templates, query_id, min(rank) AS rank FROM e JOIN r USING (template) GROUP BY ALL) SELECT templates, {METRICS} FROM b GROUP BY templates")
 def u5_template_combinations(spark, d):
-    return U.combinations(_ranks(spark, d), 2)
+    """All pairs and triples."""
+    ranks = _ranks(spark, d)
+    return U.combinations(ranks, 2).unionByName(U.combinations(ranks, 3))
 
 
 @query(Q.ANCHOR + "SELECT DISTINCT query_id, chunk FROM hit WHERE start = 0 INTERSECT SELECT DISTINCT query_id, chunk FROM hit WHERE start = 64")
@@ -184,21 +186,28 @@ def k3_chunk_entropy(spark, d):
     return K.chunk_entropy(T.documents(spark, d), 65536)
 
 
-PG = "WITH g AS (SELECT doc_id, pos, substr(hx, 2*pos+1, 16) AS sig FROM (SELECT page_id AS doc_id, lower(hex(encode(html))) AS hx, unnest(range(0, strlen(html) - 7, 32))::BIGINT AS pos FROM pages)), f AS (SELECT doc_id, sig, count(*) AS f FROM g GROUP BY ALL), dd AS (SELECT doc_id, sig, f, lead(pos) OVER (PARTITION BY doc_id, sig ORDER BY pos) - pos AS distance FROM g JOIN f USING (doc_id, sig) WHERE f >= 2) "
+PG = "WITH ks AS (SELECT doc_id, hx, n, unnest([8, 12, 16, 24, 32]) AS k FROM (SELECT page_id AS doc_id, lower(hex(encode(html))) AS hx, strlen(html)::BIGINT AS n FROM pages)), g AS (SELECT doc_id, k, pos, substr(hx, 2*pos+1, 2*k) AS sig FROM (SELECT doc_id, k, hx, unnest(range(0, n - k + 1, 32))::BIGINT AS pos FROM ks)), f AS (SELECT doc_id, k, sig, count(*) AS f FROM g GROUP BY ALL), dd AS (SELECT doc_id, k, sig, f, lead(pos) OVER (PARTITION BY doc_id, k, sig ORDER BY pos) - pos AS distance FROM g JOIN f USING (doc_id, k, sig) WHERE f >= 2) "
 
 
 def _pages(spark, d):
     return corpus.from_table(T.table(spark, d, "pages"), "page_id", "html")
 
 
-@query(PG + "SELECT doc_id, count(DISTINCT sig) AS anchors, count(distance) AS pairs, quantile_cont(distance, 0.5) AS median, round(avg(CASE WHEN distance > 921600 THEN 1.0::DOUBLE WHEN distance IS NOT NULL THEN 0.0 END), 6) AS far, round(avg(CASE WHEN distance <= 65536 THEN 1.0::DOUBLE WHEN distance IS NOT NULL THEN 0.0 END), 6) AS near FROM dd WHERE f <= 512 GROUP BY doc_id")
+@query(PG + "SELECT doc_id, k, coalesce(anchors, 0) AS anchors, coalesce(pairs, 0) AS pairs, median, coalesce(far, 0) AS far, coalesce(near, 0) AS near FROM (SELECT doc_id, k FROM ks) LEFT JOIN (SELECT doc_id, k, count(DISTINCT sig) AS anchors, count(distance) AS pairs, quantile_cont(distance, 0.5) AS median, round(avg(CASE WHEN distance > 921600 THEN 1.0::DOUBLE WHEN distance IS NOT NULL THEN 0.0 END), 6) AS far, round(avg(CASE WHEN distance <= 65536 THEN 1.0::DOUBLE WHEN distance IS NOT NULL THEN 0.0 END), 6) AS near FROM dd WHERE f <= 512 GROUP BY ALL) USING (doc_id, k)")
 def k4_repeat_profile(spark, d):
-    return K.repeat_profile(_pages(spark, d), 8)
+    return K.repeat_profile(_pages(spark, d))
 
 
-@query(PG + "SELECT k.*, pairs, p50, p90, useful_p99, far900k, far4m, near64k FROM (SELECT doc_id, sum(f)::BIGINT AS sampled, count(*) AS \"unique\", count(*) FILTER (WHERE f >= 2) AS repeated, count(*) FILTER (WHERE f BETWEEN 2 AND 512) AS useful, round(coalesce(sum(f) FILTER (WHERE f >= 2), 0)/sum(f), 6) AS repeated_share FROM f GROUP BY doc_id) k LEFT JOIN (SELECT doc_id, count(*) AS pairs, (list(distance ORDER BY distance))[round_even((count(*)-1)*0.5, 0)::BIGINT+1] AS p50, (list(distance ORDER BY distance))[round_even((count(*)-1)*0.9, 0)::BIGINT+1] AS p90, (list(distance ORDER BY distance) FILTER (WHERE f <= 512))[round_even((count(*) FILTER (WHERE f <= 512)-1)*0.99, 0)::BIGINT+1] AS useful_p99, round(avg((distance > 921600)::INT::DOUBLE), 6) AS far900k, round(avg((distance > 4194304)::INT::DOUBLE), 6) AS far4m, round(avg((distance <= 65536)::INT::DOUBLE), 6) AS near64k FROM dd WHERE distance IS NOT NULL GROUP BY doc_id) p USING (doc_id)")
+def place_sql(q: float) -> str:
+    return f"(list(distance ORDER BY distance))[round_even((count(*)-1)*{q}, 0)::BIGINT+1]"
+
+
+PAIRED = f"SELECT doc_id, k, count(*) AS pairs, {place_sql(0.5)} AS p50, {place_sql(0.9)} AS p90, {place_sql(0.99)} AS p99, avg((distance > 921600)::INT::DOUBLE) AS far900k, avg((distance > 4194304)::INT::DOUBLE) AS far4m, avg((distance <= 65536)::INT::DOUBLE) AS near64k FROM dd WHERE distance IS NOT NULL"
+
+
+@query(PG + f", a AS ({PAIRED} GROUP BY ALL), u AS ({PAIRED} AND f <= 512 GROUP BY ALL), kk AS (SELECT doc_id, k, count(*) AS kinds, count(*) FILTER (WHERE f >= 2) AS again, count(*) FILTER (WHERE f BETWEEN 2 AND 512) AS fit, coalesce(sum(f) FILTER (WHERE f >= 2), 0) AS places FROM f GROUP BY ALL) SELECT ks.doc_id, ks.k, greatest(1, (n - ks.k + 32)//32)::BIGINT AS sampled, coalesce(kinds, 0) AS \"unique\", coalesce(again, 0) AS repeated, coalesce(fit, 0) AS useful, round(coalesce(again/kinds, 0), 6) AS repeat_key_share, round(coalesce(fit/kinds, 0), 6) AS useful_key_share, round(coalesce(places, 0)::DOUBLE/greatest(1, (n - ks.k + 32)//32), 6) AS repeated_share, " + ", ".join(f"coalesce({t}.pairs, 0) AS {m}pairs, {t}.p50 AS {m}p50, {t}.p90 AS {m}p90, round(coalesce({t}.far900k, 0), 6) AS {m}far900k, round(coalesce({t}.far4m, 0), 6) AS {m}far4m, round(coalesce({t}.near64k, 0), 6) AS {m}near64k" for t, m in (("a", ""), ("u", "useful_"))) + ", u.p99 AS useful_p99, round(coalesce(u.far900k/greatest(1e-12, u.near64k), 0), 6) AS useful_far_to_near FROM ks LEFT JOIN kk ON kk.doc_id = ks.doc_id AND kk.k = ks.k LEFT JOIN a ON a.doc_id = ks.doc_id AND a.k = ks.k LEFT JOIN u ON u.doc_id = ks.doc_id AND u.k = ks.k")
 def k5_distance_profile(spark, d):
-    return K.full_distance_profile(_pages(spark, d), 8)
+    return K.full_distance_profile(_pages(spark, d))
 
 
 @query("WITH g AS (SELECT page_id AS doc_id, pos, substr(hx, 2*pos+1, 48) AS sig FROM (SELECT page_id, lower(hex(encode(html))) AS hx, unnest(range(0, strlen(html) - 23))::BIGINT AS pos FROM pages)), k AS (SELECT * FROM g WHERE ('0x' || substr(md5(unhex(sig)), 1, 4))::INT % 16 = 0) SELECT doc_id, sig, distance FROM (SELECT doc_id, sig, lead(pos) OVER (PARTITION BY doc_id, sig ORDER BY pos) - pos AS distance FROM k) WHERE distance IS NOT NULL")
@@ -261,12 +270,12 @@ def k11_stumps(spark, d):
     return K.stumps(_labelled(spark, d), "doc_id", "quality", ["n_chars", "lines"])
 
 
-LANGS = ["de", "en", "es", "fr"]
+RIGHT = "sum(((CASE WHEN direction = 'ge' THEN value >= threshold ELSE value <= threshold END)::INT = y)::INT)::BIGINT AS correct"
 
 
-@query(LAB + ", ".join(f"x{g} AS (SELECT * FROM x WHERE lang <> '{g}'), a{g} AS (SELECT * FROM {stump_sql('x' + g)} ORDER BY correct DESC, feature, direction, threshold LIMIT 1)" for g in LANGS) + " " + " UNION ALL ".join(f"SELECT feature, direction, threshold, sum(((CASE WHEN direction = 'ge' THEN v >= threshold ELSE v <= threshold END)::INT = y)::INT)::BIGINT AS correct, count(*) AS total, '{g}' AS held FROM a{g} JOIN (SELECT y, 'n_chars' AS feature, n_chars AS v FROM x WHERE lang = '{g}' UNION ALL SELECT y, 'lines', lines FROM x WHERE lang = '{g}') USING (feature) GROUP BY ALL" for g in LANGS))
+@query(LAB + f"g AS (SELECT DISTINCT lang AS held FROM x WHERE lang IS NOT NULL), v AS (SELECT y, lang, 'n_chars' AS feature, n_chars AS value FROM x UNION ALL SELECT y, lang, 'lines', lines FROM x), t AS (SELECT DISTINCT held, feature, value AS threshold FROM v JOIN g ON lang <> held), s AS (SELECT held, feature, direction, threshold, {RIGHT} FROM t JOIN v USING (feature), (VALUES ('ge'), ('le')) dr(direction) WHERE lang <> held GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY held ORDER BY correct DESC, feature, direction, threshold) AS r FROM s) SELECT held, feature, direction, threshold, {RIGHT}, count(*) AS total FROM (SELECT held, feature, direction, threshold FROM b WHERE r = 1) JOIN v USING (feature) WHERE lang = held GROUP BY ALL")
 def k12_leave_one_out(spark, d):
-    return K.leave_one_group_out(_labelled(spark, d), "doc_id", "quality", ["n_chars", "lines"], "lang", LANGS)
+    return K.leave_one_group_out(_labelled(spark, d), "quality", ["n_chars", "lines"], "lang")
 
 
 @query("WITH m AS (SELECT o_orderkey, floor(o_totalprice::DOUBLE*200/1048576)::BIGINT AS mib FROM orders) SELECT o_orderkey, CASE WHEN mib >= 5 THEN least(16, mib//4) END AS version_mib, CASE WHEN mib >= 5 THEN greatest(1, least(16, mib//4)//8) END AS overlap_shift_mib FROM m")

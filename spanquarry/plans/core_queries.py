@@ -95,9 +95,9 @@ def s11_symbol_corpus(spark, d):
     return T.items(spark, d).select(F.col("doc_id").alias("item_id"), F.concat(B.byte_array(F.col("content")), F.array(F.lit(256))).alias("symbols"))
 
 
-def _saved_suffixes(spark, d):
-    """The suffix table, written to the shared folder and read back."""
-    return saved(X.suffixes(T.items(spark, d)), "suffixes")
+def _saved_suffixes(spark, d, docs=None):
+    """The suffix table (of the items if not told otherwise), written to the shared folder and read back."""
+    return saved(X.suffixes(T.items(spark, d)) if docs is None else X.suffixes_long(docs), "suffixes")
 
 
 @query(f"WITH {T.SUF} SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS documents, sum(off)::BIGINT AS offsets, sum(bwt*sa_row)::BIGINT AS weighted FROM sfx")
@@ -107,10 +107,11 @@ def s12_index_tables(spark, d):
     return t.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("doc_id").alias("documents"), F.sum("off").alias("offsets"), F.sum(F.col("bwt") * F.col("sa_row")).alias("weighted"))
 
 
-@query(f"WITH {T.SUF} SELECT doc_id, count(*) AS entries, max(n) + 1 AS expected FROM sfx GROUP BY doc_id")
+@query("SELECT doc_id, strlen(text)::BIGINT + 1 AS entries, strlen(text)::BIGINT + 1 AS expected FROM documents")
 def s14_suffix_container_size(spark, d):
-    t = _saved_suffixes(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("entries"))
-    return t.join(T.items(spark, d), "doc_id").select("doc_id", "entries", (F.col("byte_length") + 1).alias("expected"))
+    docs = T.documents(spark, d)
+    t = _saved_suffixes(spark, d, docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("entries"))
+    return t.join(docs, "doc_id").select("doc_id", "entries", (F.col("byte_length") + 1).alias("expected"))
 
 
 @query(f"WITH {T.SUF} SELECT doc_id, sa_row, off // 64 AS chunk_no FROM sfx")
@@ -208,10 +209,10 @@ def x2_suffix_array_arrow(spark, d):
     return X.suffixes_long(T.items(spark, d)).select("doc_id", "sa_row", "off")
 
 
-@query("SELECT item_id AS doc_id, CASE WHEN item_id % 3 = 0 THEN 1 ELSE 3 END AS sa_row FROM benchmark WHERE item_id % 3 < 2 AND strlen(text) >= 3")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 3 END::BIGINT AS sa_row FROM documents WHERE doc_id % 3 < 2 AND strlen(text) >= 3")
 def x3_suffix_order_check(spark, d):
     """Tables in which every third document has an offset beyond its end and the next two rows exchanged."""
-    docs = T.items(spark, d)
+    docs = T.documents(spark, d)
     k, row = F.col("doc_id") % 3, F.col("sa_row")
     table = X.suffixes_long(docs.filter(F.length("content") >= 3))
     moved = F.when((k == 1) & (row == 2), 3).when((k == 1) & (row == 3), 2).otherwise(row)
@@ -230,17 +231,17 @@ def x5_bwt_byte_sentinel(spark, d):
     return X.suffixes(T.items(spark, d)).select("doc_id", "sa_row", F.when(F.col("bwt") == X.SENTINEL, 0).otherwise(F.col("bwt")).alias("bwt"))
 
 
-@query("SELECT item_id AS doc_id, unnest(range(0, strlen(text) + 1, 5))::BIGINT AS sa_row FROM benchmark WHERE item_id % 2 = 0")
+@query("SELECT doc_id, unnest(range(0, strlen(text) + 1, 5))::BIGINT AS sa_row FROM documents WHERE doc_id % 2 = 0")
 def x6_bwt_validation(spark, d):
     """Tables in which every fifth symbol of every second document is another one."""
-    docs = T.items(spark, d)
+    docs = T.documents(spark, d)
     wrong = (F.col("doc_id") % 2 == 0) & (F.col("sa_row") % 5 == 0)
     return X.bwt_violations(X.suffixes_long(docs).withColumn("bwt", F.when(wrong, F.col("bwt") + 1).otherwise(F.col("bwt"))), docs)
 
 
-@query(SFX + ", c AS (SELECT doc_id, bwt AS symbol, count(*) AS n FROM sfx GROUP BY ALL) SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY CASE WHEN symbol = 256 THEN -1 ELSE symbol END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c FROM c")
+@query("WITH c AS (SELECT doc_id, ('0x' || y)::INT AS symbol, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS y FROM documents) GROUP BY ALL UNION ALL SELECT doc_id, 256, 1 FROM documents) SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY CASE WHEN symbol = 256 THEN -1 ELSE symbol END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c FROM c")
 def x7_c_table(spark, d):
-    return X.c_table(X.suffixes(T.items(spark, d)))
+    return X.c_table(X.suffixes_long(T.documents(spark, d)))
 
 
 OCC_SQL = ", b AS (SELECT doc_id, sa_row // 32 AS block, bwt AS symbol, count(*) AS n FROM sfx GROUP BY ALL) SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id, symbol ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM b"
@@ -256,9 +257,9 @@ def x9_jump_index(spark, d):
     return X.jumps(X.suffixes(T.items(spark, d)), 48)
 
 
-@query(SFX + "SELECT doc_id, off // 64 AS chunk_no, count(*) AS suffixes FROM sfx GROUP BY ALL")
+@query("SELECT doc_id, off // 64 AS chunk_no, count(*) AS suffixes FROM (SELECT doc_id, unnest(range(strlen(text) + 1))::BIGINT AS off FROM documents) GROUP BY ALL")
 def x10_rows_by_chunk(spark, d):
-    return X.chunk_of(X.suffixes(T.items(spark, d)), 64).groupBy("doc_id", "chunk_no").agg(F.count(F.lit(1)).alias("suffixes"))
+    return X.chunk_of(X.suffixes_long(T.documents(spark, d)), 64).groupBy("doc_id", "chunk_no").agg(F.count(F.lit(1)).alias("suffixes"))
 
 
 @query("""WITH d AS (SELECT doc_id, strlen(text)::BIGINT AS n FROM documents), c AS (SELECT doc_id, n, unnest(range((n + 16383) // 16384))::BIGINT AS k FROM d),
@@ -319,10 +320,15 @@ def p3_rank(spark, d):
 INTERVALS = SFX + f", {T.SHORT}, iv AS (SELECT query_id::BIGINT AS query_id, doc_id, min(sa_row) AS l, max(sa_row) + 1 AS r FROM sfx JOIN pat ON starts_with(suffix, lower(hex(encode(p)))) GROUP BY ALL) "
 
 
-@query(INTERVALS + "SELECT * FROM iv")
+# a suffix is below, at or above a pattern of three bytes or fewer by its own first three
+PLACED = f"WITH {T.PRE}, {T.SHORT}, iv AS (SELECT query_id::BIGINT AS query_id, doc_id, count(*) FILTER (WHERE head < hx) AS l, count(*) FILTER (WHERE head < hx OR starts_with(head, hx)) AS r FROM pre, (SELECT query_id, lower(hex(encode(p))) AS hx FROM pat) GROUP BY ALL) "
+FOUND = f"WITH {T.PRE}, {T.SHORT} SELECT query_id::BIGINT AS query_id, doc_id, off AS doc_offset FROM pre JOIN pat ON starts_with(head, lower(hex(encode(p))))"
+
+
+@query(PLACED + "SELECT * FROM iv WHERE r > l")
 def p4_suffix_interval(spark, d):
-    """By backward search over the run-length BWT."""
-    return X.backward_search(X.run_lengths(X.suffixes(T.items(spark, d))), T.short_patterns(spark))
+    """By backward search over the run-length BWT of all documents."""
+    return X.backward_search(X.run_lengths(X.suffixes_long(T.documents(spark, d))), T.short_patterns(spark))
 
 
 @query(T.LOCATE + "SELECT query_id, doc_id, count(*) AS match_count FROM occ GROUP BY ALL")
@@ -369,25 +375,25 @@ def p11_sampled_locate(spark, d):
     return X.walk(X.run_lengths(table.drop("off")), table.filter("sa_row % 8 = 0"), table)
 
 
-@query(INTERVALS + "SELECT iv.query_id, iv.doc_id, off AS doc_offset FROM iv JOIN sfx ON iv.doc_id = sfx.doc_id AND sa_row >= l AND sa_row < r")
+@query(FOUND)
 def p12_locate_from_rows(spark, d):
-    docs = T.items(spark, d)
-    table = X.suffixes(docs)
-    rows = X.intervals(table, docs, T.short_patterns(spark)).withColumn("sa_row", F.explode(F.sequence("l", F.col("r") - 1)))
+    """Rows by backward search, offsets from the stored suffix table."""
+    table = _saved_suffixes(spark, d, T.documents(spark, d))
+    rows = X.backward_search(X.run_lengths(table), T.short_patterns(spark)).withColumn("sa_row", F.explode(F.sequence("l", F.col("r") - 1)))
     return rows.join(table, ["doc_id", "sa_row"]).select("query_id", "doc_id", F.col("off").alias("doc_offset"))
 
 
-@query(INTERVALS + "SELECT query_id, doc_id, r - l AS match_count FROM iv")
+@query(PLACED + "SELECT query_id, doc_id, r - l AS match_count FROM iv WHERE r > l")
 def p13_count_run_lengths(spark, d):
     """Counts from run lengths alone."""
-    runs = saved(X.run_lengths(X.suffixes(T.items(spark, d))), "runs")
+    runs = saved(X.run_lengths(X.suffixes_long(T.documents(spark, d))), "runs")
     return X.backward_search(runs, T.short_patterns(spark)).select("query_id", "doc_id", (F.col("r") - F.col("l")).alias("match_count"))
 
 
-@query(INTERVALS + "SELECT iv.query_id, iv.doc_id, off AS doc_offset FROM iv JOIN sfx ON iv.doc_id = sfx.doc_id AND sa_row >= l AND sa_row < r")
+@query(FOUND)
 def p14_locate_run_lengths(spark, d):
     """Offsets from run lengths and every fourth offset alone: backward search, then LF steps."""
-    table = _saved_suffixes(spark, d)
+    table = _saved_suffixes(spark, d, T.documents(spark, d))
     runs = saved(X.run_lengths(table.drop("off")), "runs")
     found = X.backward_search(runs, T.short_patterns(spark)).withColumn("sa_row", F.explode(F.sequence("l", F.col("r") - 1)))
     placed = X.walk(runs, table.filter("sa_row % 4 = 0"), found.select("doc_id", "sa_row").distinct())

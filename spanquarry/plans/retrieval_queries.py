@@ -178,10 +178,15 @@ def f8_index_statistics(spark, d):
     return S.statistics(S.dense(chunks(spark, d)))
 
 
-@query(f"WITH {CH}, g AS (SELECT DISTINCT chunk, substr(raw, 2*pos+1, 48) AS sig FROM (SELECT chunk, raw, unnest(range(0, len(raw)//2 - 23, 8)) AS pos FROM ch)), f AS (SELECT sig, count(*) AS df FROM g GROUP BY ALL) SELECT min(df) AS least, quantile_cont(df, 0.5) AS median, quantile_cont(df, 0.9) AS p90, max(df) AS most, round(avg(df), 6) AS mean FROM f")
+@query(f"WITH {CH}, l AS (SELECT unnest([24, 32, 40]) AS length), g AS (SELECT DISTINCT length, chunk, substr(raw, 2*pos+1, 2*length) AS sig FROM (SELECT length, chunk, raw, unnest(range(0, len(raw)//2 - length + 1, length//2)) AS pos FROM ch, l)), f AS (SELECT length, sig, count(*) AS df FROM g GROUP BY ALL) SELECT length, count(*) AS windows, min(df) AS least, quantile_cont(df, 0.5) AS median, quantile_cont(df, 0.9) AS p90, max(df) AS most, round(avg(df), 6) AS mean FROM f GROUP BY length")
 def f9_long_substring_frequency(spark, d):
-    f = S.grams(chunks(spark, d), 24, 8).select("chunk", "sig").distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
-    return f.agg(F.min("df").alias("least"), F.percentile("df", 0.5).alias("median"), F.percentile("df", 0.9).alias("p90"), F.max("df").alias("most"), F.round(F.avg("df"), 6).alias("mean"))
+    """Windows of 24, 32 and 40 bytes, each half its length apart."""
+    found = None
+    for length in (24, 32, 40):
+        one = S.grams(chunks(spark, d), length, length // 2).select(F.lit(length).alias("length"), "chunk", "sig").distinct()
+        found = one if found is None else found.unionByName(one)
+    f = found.groupBy("length", "sig").agg(F.count(F.lit(1)).alias("df"))
+    return f.groupBy("length").agg(F.count(F.lit(1)).alias("windows"), F.min("df").alias("least"), F.percentile("df", 0.5).alias("median"), F.percentile("df", 0.9).alias("p90"), F.max("df").alias("most"), F.round(F.avg("df"), 6).alias("mean"))
 
 
 FR = "fr AS (SELECT item_id AS query_id, f AS frag, f*32 AS start, substr(lower(hex(encode(text))), f*64+1, 48) AS fragment FROM benchmark, range(5) t(f) WHERE f*32 + 24 <= strlen(text))"

@@ -49,4 +49,7 @@ SUF = """d AS (SELECT item_id AS doc_id, lower(hex(encode(text))) AS hx, strlen(
 s AS (SELECT doc_id, hx, n, unnest(range(n+1))::BIGINT AS off FROM d),
 t AS (SELECT doc_id, n, off, substr(hx, 2*off+1) AS suffix, CASE WHEN off = 0 THEN 256 ELSE ('0x' || substr(hx, 2*off-1, 2))::INT END AS bwt FROM s),
 sfx AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY suffix) - 1 AS sa_row FROM t)"""
+#: The first three bytes of every suffix of every document, enough to place patterns of up to three bytes.
+PRE = """b AS (SELECT doc_id, unnest(x) AS y, unnest(range(len(x)))::BIGINT AS off FROM (SELECT doc_id, regexp_extract_all(lower(hex(encode(text))), '..') AS x FROM documents)),
+pre AS (SELECT doc_id, off, y || coalesce(lead(y) OVER w, '') || coalesce(lead(y, 2) OVER w, '') AS head FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY off) UNION ALL SELECT doc_id, strlen(text)::BIGINT, '' FROM documents)"""
 SHORT = "pat AS (SELECT * FROM (VALUES (0,'e'),(1,'th'),(2,'er'),(3,'the'),(4,'zz')) v(query_id, p))"

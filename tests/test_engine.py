@@ -183,3 +183,48 @@ def test_sharded_totals(spark):
     docs, pats = table(spark, [b"aa", b"a", b""]), wanted(spark, [b"a"])
     got = {r["shard_id"]: r["match_count"] for r in M.sharded(docs, F.col("doc_id") % 2, pats).collect()}
     assert got == {0: 2, 1: 1, None: 3}
+
+
+def test_suffix_order_against_sorted_suffixes():
+    rng = np.random.default_rng(3)
+    texts = [b"", b"a", b"aa", b"\x00\x00", b"\xff\x00", b"abababab" * 9, b"a" * 300, bytes(range(256)), b"abc" * 40 + b"abd" + b"abc" * 40]
+    texts += [bytes(rng.integers(0, kinds, size).astype(np.uint8)) for kinds in (2, 3, 256) for size in (7, 8, 50, 999)]
+    for text in texts:
+        assert X.suffix_order(text).tolist() == sorted(range(len(text) + 1), key=lambda i: text[i:])
+
+
+def test_violations_are_named_row_by_row(spark):
+    corpus = table(spark, [b"banana", b"", b"aaaa"])
+    good = X.suffixes_long(corpus)
+    swapped = F.when(F.col("sa_row") == 2, 3).when(F.col("sa_row") == 3, 2).otherwise(F.col("sa_row")).cast("bigint")
+    bad = good.withColumn("sa_row", F.when(F.col("doc_id") == 0, swapped).otherwise(F.col("sa_row")))
+    bad = bad.withColumn("off", F.when((F.col("doc_id") == 2) & (F.col("sa_row") == 4), 9).otherwise(F.col("off")).cast("bigint"))
+    assert {tuple(r) for r in X.order_violations(bad, corpus).collect()} == {(0, 3), (2, 4)}
+    nulls = good.withColumn("bwt", F.when(F.col("sa_row") > 0, F.col("bwt")))
+    assert {tuple(r) for r in X.bwt_violations(nulls, corpus).collect()} == {(0, 0), (1, 0), (2, 0)}
+
+
+def test_distance_profile_by_hand(spark):
+    text = b"0123456789abcdef" * 12 + b"x"
+    rows = {(r["doc_id"], r["k"]): r for r in K.full_distance_profile(table(spark, [text, b"short", b""]), stride=16).collect()}
+    assert len(rows) == 15
+    one, none = rows[0, 8], rows[1, 32]
+    assert (one["sampled"], one["unique"], one["pairs"], one["p50"], one["useful_p99"], one["near64k"], one["useful_far_to_near"]) == (12, 1, 11, 16, 16, 1.0, 0.0)
+    assert (one["repeat_key_share"], one["repeated_share"]) == (1.0, 1.0)
+    assert (none["sampled"], none["unique"], none["pairs"], none["p50"], none["useful_p90"], none["far4m"]) == (1, 0, 0, None, None, 0.0)
+
+
+def test_groups_held_out_are_those_of_the_data(spark, monkeypatch):
+    rows = [(k, "ab"[k % 2], k % 3 // 2, float(k % 7)) for k in range(40)] + [(99, None, 1, 3.0)]
+    data = spark.createDataFrame(rows, "id bigint, g string, y int, v double")
+    got = {r["held"]: r for r in K.leave_one_group_out(data, "y", ["v"], "g").collect()}
+    for held in "ab":
+        rules = []
+        for way, t in itertools.product(("ge", "le"), sorted({v for _, g, _, v in rows if g not in (held, None)})):
+            said = {True: lambda v, t=t: int(v >= t), False: lambda v, t=t: int(v <= t)}[way == "ge"]
+            rules.append((-sum(said(v) == y for _, g, y, v in rows if g not in (held, None)), way, t, sum(said(v) == y for _, g, y, v in rows if g == held)))
+        best = min(rules)
+        assert (got[held]["direction"], got[held]["threshold"], got[held]["correct"], got[held]["total"]) == (best[1], best[2], best[3], 20)
+    monkeypatch.setattr(K, "MOST_GROUPS", 1)
+    with pytest.raises(ValueError, match="TOO_MANY_GROUPS"):
+        K.leave_one_group_out(data, "y", ["v"], "g")
