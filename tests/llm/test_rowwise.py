@@ -44,6 +44,29 @@ def test_licences_of_the_method(docs, spark, empty):
     assert licenses.scan(empty, "doc_id", "text").count() == 0
 
 
+def test_every_notice_against_a_plain_search(spark):
+    known = licenses.templates()
+    texts = [" ".join(t["words"]) for t in known]
+    texts += [" ".join(t["words"][1:]) for t in known]  # the first word is of a key phrase
+    texts += [", ".join(w.upper() for w in t["words"]) + ". " + " ".join(u["words"]) for t, u in zip(known, known[1:] + known[:1], strict=True)]
+    texts += [" ".join("other" if q not in t["must"] else w for q, w in enumerate(t["words"])) for t in known]
+    texts += [" ".join(w for w in t["words"] if w != t["anchors"][0][0]) for t in known]
+    want = {}
+    for i, text in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+        labels, best, places = set(), 0.0, 0
+        for t in known:
+            for s in range(len(words)):
+                if all(s + q < len(words) and words[s + q] == t["words"][q] for q in t["must"]):
+                    labels.add(t["label"])
+                    places += not t["base"]
+                    best = max(best, sum(r for q, (w, r) in enumerate(zip(t["words"], t["rarity"], strict=True)) if s + q < len(words) and words[s + q] == w) / sum(t["rarity"]))
+        want[i] = (",".join(sorted(labels)), pytest.approx(best, abs=1e-6), places)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["doc_id"]: (r["labels"], r["score"], r["n_notices"]) for r in licenses.scan(table, "doc_id", "text").collect()} == want
+    assert all(t["label"] in want[i][0].split(",") and want[i][1] == 1.0 for i, t in enumerate(known))
+
+
 def plain_sketch(text, k=128, width=5):
     """The k smallest 48-bit hashes of a text's distinct shingles, a word and a byte at a time in Python's integers."""
     full = (1 << 64) - 1
