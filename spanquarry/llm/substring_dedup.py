@@ -43,6 +43,7 @@ DEPTH = 200
 GRAM = 64
 BLOCK = 8
 FLUSH = 1_000_000
+SUMMED = 1 << 24  # so many terms of at most 256 * 2**31 stay below 2**63
 U = np.uint64
 _HIGH, _LOW = U(0xFFFFFFFF00000000), U(0xFFFFFFFF)
 
@@ -60,14 +61,21 @@ class Hashes:
         wide = data.astype(np.uint64) + U(1)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(wide * up[:n], out=self.sums[1:])
-        up, self.small_down = small_powers(n + 1)
-        self.small = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(wide * up[:n] % U(PRIME), out=self.small[1:])
+        self.wide = wide
+        self.small: np.ndarray | None = None
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
     def strong(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if self.small is None:
+            n = len(self.wide)
+            up, self.small_down = small_powers(n + 1)
+            terms = self.wide * up[:n]
+            if n >= SUMMED:
+                terms %= U(PRIME)
+            self.small = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(terms, out=self.small[1:])
         other = (self.small[end] - self.small[start]) % U(PRIME) * self.small_down[start] % U(PRIME)
         return mix(self.of(start, end) + other * U(0x9E3779B97F4A7C15))
 
@@ -82,8 +90,8 @@ def _window_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:-rest], out[rest:]) if rest else out
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, depth: int, gram: int) -> dict[str, np.ndarray]:
-    """Runs of windows with one anchor: row, start (in the row), length, off (from start to anchor), anchor and body (hashes)."""
+def runs(data: np.ndarray, offsets: np.ndarray, depth: int, gram: int, bodies: bool = True) -> dict[str, np.ndarray]:
+    """Runs of windows with one anchor: row, start (in the row), length, off (from start to anchor), anchor and, if asked for, body (hashes)."""
     none = np.empty(0, dtype=np.int64)
     if len(data) < depth:
         return {"row": none, "start": none, "length": none, "off": none, "anchor": none.astype(np.uint64), "body": none.astype(np.uint64)}
@@ -106,9 +114,12 @@ def runs(data: np.ndarray, offsets: np.ndarray, depth: int, gram: int) -> dict[s
     # a run ends before the next one or with the row's last window
     end = np.minimum(np.append(start[1:], len(data)), offsets[row + 1] - depth + 1)
     at = place[start]
+    found = {"row": row, "start": start - offsets[row], "length": end - start, "off": at - start, "anchor": grams[at]}
+    if not bodies:
+        return found
     body = hashes.strong(start, end - 1 + depth)
     body = mix(body ^ ((at - start).astype(np.uint64) << U(32)) ^ (end - start).astype(np.uint64))
-    return {"row": row, "start": start - offsets[row], "length": end - start, "off": at - start, "anchor": grams[at], "body": body}
+    return found | {"body": body}
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -137,7 +148,7 @@ def _anchors(texts: DataFrame, depth: int, gram: int) -> DataFrame:
         for batch in batches:
             batch, copies = _distinct(batch)
             for lo, _, data, offsets in slices(batch.column(2)):
-                found = runs(data, offsets, depth, gram)
+                found = runs(data, offsets, depth, gram, bodies=False)
                 held.append(found["anchor"])
                 times.append(copies[lo + found["row"]])
                 size += len(found["anchor"])
