@@ -2,16 +2,18 @@
 
 ``count_tokens`` encodes in an Arrow function that returns lengths only. Batches for the encoder are
 balanced by bytes, and a long text is cut at safe boundaries: a single space between two ASCII letters.
-The byte-level pre-tokenizer always begins a new piece at such a space, and no special token holds a
-space, so the parts' counts add up to the count of the whole text.
+A pre-tokenizer that begins a new piece at such a space, with no special token that holds a space, makes the
+parts' counts add up to the count of the whole text. ``cuttable`` tries that on the given tokenizer; texts of
+any other one, sentencepiece models (``.model``) among them, are encoded whole.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; a null id stays null; every input row gives
 one output row, repeated rows included; other columns of any name are ignored; an empty table gives an
-empty result.
+empty result; a long text without a safe boundary is encoded as one part.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections.abc import Iterator
@@ -31,20 +33,48 @@ def tokenizer(vocabulary: str):
     """The tokenizer of a vocabulary file: a path, or the name of a file among the public tokenizers."""
     if vocabulary not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         path = vocabulary
         if os.sep not in path:
             import public_tokenizers
 
             path = str(public_tokenizers.path(vocabulary))
-        made = Tokenizer.from_file(path)
-        made.no_truncation()
-        made.no_padding()
-        _loaded[vocabulary] = made
+        if path.endswith(".model"):
+            from sentencepiece import SentencePieceProcessor
+
+            _loaded[vocabulary] = SentencePieceProcessor(model_file=path)
+        else:
+            from tokenizers import Tokenizer
+
+            made = Tokenizer.from_file(path)
+            made.no_truncation()
+            made.no_padding()
+            _loaded[vocabulary] = made
     return _loaded[vocabulary]
 
 
+def counter(vocabulary: str):
+    """Token counts of a list of texts, without begin, end or added special tokens."""
+    made = tokenizer(vocabulary)
+    if hasattr(made, "encode_batch_fast"):
+        return lambda texts: [len(e) for e in made.encode_batch_fast(texts, add_special_tokens=False)]
+    return lambda texts: [len(made.encode(t, add_bos=False, add_eos=False)) for t in texts]
+
+
+@functools.cache
+def cuttable(vocabulary: str) -> bool:
+    """Whether pieces of the tokenizer end before a space between two letters, and no special token holds a space."""
+    made = tokenizer(vocabulary)
+    if getattr(made, "pre_tokenizer", None) is None or any(" " in t.content for t in made.get_added_tokens_decoder().values()):
+        return False
+
+    def cut(text: str) -> list[str]:
+        if made.normalizer is not None:
+            text = made.normalizer.normalize_str(text)
+        return [piece for piece, _ in made.pre_tokenizer.pre_tokenize_str(text)]
+
+    return all(cut(f"{a} {b}") == cut(a) + cut(f" {b}") for a in ("ab", "1x", "don't Go") for b in ("cd", "It's 9", "z"))
+
+
 def pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
     """Parts of ``text`` of about ``most`` code points, cut at safe boundaries only."""
     at = 0
@@ -59,7 +89,8 @@ def pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
 
 def lengths(texts: list[str], vocabulary: str, batch_bytes: int = BATCH_BYTES, piece_chars: int = PIECE_CHARS) -> np.ndarray:
     """Token counts of ``texts``, encoded in batches of about ``batch_bytes``."""
-    encode = tokenizer(vocabulary).encode_batch_fast
+    count = counter(vocabulary)
+    whole = not cuttable(vocabulary)
     out = np.zeros(len(texts), dtype=np.int64)
     batch: list[str] = []
     owners: list[int] = []
@@ -67,14 +98,14 @@ def lengths(texts: list[str], vocabulary: str, batch_bytes: int = BATCH_BYTES, p
 
     def flush() -> None:
         nonlocal held
-        for owner, encoded in zip(owners, encode(batch, add_special_tokens=False), strict=True):
-            out[owner] += len(encoded)
+        for owner, n in zip(owners, count(batch), strict=True):
+            out[owner] += n
         batch.clear()
         owners.clear()
         held = 0
 
     for i, text in enumerate(texts):
-        for part in pieces(text, piece_chars):
+        for part in [text] if whole else pieces(text, piece_chars):
             batch.append(part)
             owners.append(i)
             held += len(part) * (1 if part.isascii() else 2)

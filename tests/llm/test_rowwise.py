@@ -152,6 +152,22 @@ def test_cut_texts_count_as_whole():
         assert token_counts.lengths([text], VOCABULARY, 200, 50)[0] == len(plain.encode(text, add_special_tokens=False))
 
 
+@pytest.mark.parametrize("vocabulary", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_other_tokenizers_count_as_their_library(spark, vocabulary):
+    pytest.importorskip("public_tokenizers")
+    plain = token_counts.tokenizer(vocabulary)
+    texts = ["It's  two words, é 漢字\n<|endoftext|> don't You" * 30, "", None, "a" * 3000, "x y " * 20_000]
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "doc_id", "text", vocabulary, 9).collect()}
+    if vocabulary.endswith(".model"):
+        assert not token_counts.cuttable(vocabulary)
+        want = [len(plain.encode(t or "")) for t in texts]
+    else:
+        assert token_counts.cuttable(vocabulary)
+        want = [len(plain.encode(t or "", add_special_tokens=False)) for t in texts]
+    assert got == dict(enumerate(want))
+    assert list(token_counts.lengths([t or "" for t in texts], vocabulary, 300, 40)) == want
+
+
 def test_forward_backward_against_all_paths():
     rng = np.random.default_rng(0)
     first = np.array([0, 4, 4, 5, 8])
