@@ -194,11 +194,17 @@ def inventory(files: DataFrame) -> DataFrame:
 
 
 def check_bundle(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(name, problem): files that are missing, unexpected or changed against an inventory."""
-    now = inventory(files).select("name", F.col("sha256").alias("now"))
-    both = now.join(manifest.select("name", "sha256"), "name", "full_outer")
-    problem = F.when(F.col("now").isNull(), "MISSING").when(F.col("sha256").isNull(), "UNEXPECTED").when(F.col("now") != F.col("sha256"), "DIGEST")
-    return both.select("name", problem.alias("problem")).filter("problem IS NOT NULL")
+    """(name, problem): files that are missing, unexpected or changed against an inventory.
+
+    A name may stand for several files. Of these, equal ones are paired first and then changed ones, so that a file
+    gives one row at most; only counts by name and digest are met.
+    """
+    one = inventory(files).select("name", "sha256", F.lit(1).alias("n")).unionByName(manifest.select("name", "sha256", F.lit(-1).alias("n")))
+    left = one.groupBy("name", "sha256").agg(F.sum("n").alias("n"))
+    sums = left.groupBy("name").agg(F.sum(F.greatest(F.col("n"), F.lit(0))).cast("int").alias("more"), F.sum(F.greatest(-F.col("n"), F.lit(0))).cast("int").alias("less"))
+    both = F.least("more", "less")
+    problems = F.concat(F.array_repeat(F.lit("DIGEST"), both), F.array_repeat(F.lit("MISSING"), F.col("less") - both), F.array_repeat(F.lit("UNEXPECTED"), F.col("more") - both))
+    return sums.select("name", F.explode(problems).alias("problem"))
 
 
 def bundle_root(manifest: DataFrame) -> DataFrame:

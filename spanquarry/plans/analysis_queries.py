@@ -423,7 +423,7 @@ def v12_bounded_evidence(spark, d):
 @query("SELECT url AS name, 'DIGEST' AS problem FROM pages WHERE page_id % 7 = 0 UNION ALL SELECT url, 'MISSING' FROM pages WHERE page_id % 7 = 1")
 def v13_bundle_check(spark, d):
     """A bundle of all pages in which every seventh file changed and every seventh is missing."""
-    files = T.table(spark, d, "pages").select("page_id", F.col("url").alias("name"), B.utf8(F.col("html")).alias("content"))
+    files = T.table(spark, d, "pages").select("page_id", F.col("url").alias("name"), B.utf8(F.coalesce(F.col("html"), F.lit(""))).alias("content"))
     k = F.col("page_id") % 7
     now = files.filter(k != 1).withColumn("content", F.when(k == 0, F.concat("content", F.lit(bytearray(b"!")))).otherwise(F.col("content")))
     return V.check_bundle(now.select("name", "content"), V.inventory(files.select("name", "content")))

@@ -228,3 +228,13 @@ def test_groups_held_out_are_those_of_the_data(spark, monkeypatch):
     monkeypatch.setattr(K, "MOST_GROUPS", 1)
     with pytest.raises(ValueError, match="TOO_MANY_GROUPS"):
         K.leave_one_group_out(data, "y", ["v"], "g")
+
+
+def test_bundle_of_repeated_names(spark):
+    """Names that stand for several files: one row a file, none for equal ones in any order."""
+    kind = "name string, content binary"
+    old = [("a", b"1"), ("a", b"2"), ("a", b"2"), ("a", b"3"), ("b", b"1"), ("c", b"1"), ("c", b"1"), (None, b"5"), (None, b"6")]
+    new = [("a", b"3"), ("a", b"2!"), ("a", b"2"), ("c", b"1"), ("c", b"1"), ("c", b"1"), ("d", b""), (None, b"6"), (None, b"5!")]
+    got = V.check_bundle(spark.createDataFrame(new, kind), V.inventory(spark.createDataFrame(old, kind)))
+    want = [("a", "DIGEST"), ("a", "MISSING"), ("b", "MISSING"), ("c", "UNEXPECTED"), ("d", "UNEXPECTED"), (None, "DIGEST")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
