@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanquarry.functions.binary import byte_array, count_disjoint, count_overlapping, let, part
+from spanquarry.sources.shared import saved
 
 # Spans and block lengths of the comparisons.
 SPAN, LADDER, PROBE, MIN_RUN, RUN_STEP = 192, (160, 128, 96, 64, 48, 32), 32, 16, 8
@@ -189,15 +190,32 @@ def compressed_delta(candidates: DataFrame, chunks: DataFrame, queries: DataFram
 def max_sim(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """(q, c, score): for (q, vec) tokens and (c, vec) tokens, each query token's best dot product, summed.
 
-    Vectors are scaled to unit length. ``queries`` are few and shipped.
+    Vectors are scaled to unit length. The best of a candidate's only token is its dot product, and the sum of these is
+    one product with the sum of the query's tokens, so such candidates take no pairs of tokens and any number of
+    query tokens. Only for candidates of several tokens ``queries`` are shipped and met one by one.
     """
 
     def unit(v: Column) -> Column:
         norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
         return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
 
-    a = queries.select("q", unit(F.col("vec")).alias("qv")).withColumn("token", F.monotonically_increasing_id())
+    def dot(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    a = queries.select("q", unit(F.col("vec")).alias("qv"))
     b = candidates.select("c", unit(F.col("vec")).alias("cv"))
-    dot = F.aggregate(F.zip_with("qv", "cv", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    best = b.join(F.broadcast(a), F.lit(True)).groupBy("q", "token", "c").agg(F.max(dot).alias("m"))
-    return best.groupBy("q", "c").agg(F.round(F.sum("m"), 6).alias("score"))
+    places = a.select("q", F.size("qv").alias("n"), F.posexplode_outer("qv").alias("k", "v")).groupBy("q", "n", "k").agg(F.sum("v").alias("v"))
+    sums = places.groupBy("q", "n").agg(F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v")))).alias("s"))
+    by_length = sums.groupBy("q").agg(F.map_from_entries(F.collect_list(F.when(F.col("n") >= 0, F.struct("n", F.transform("s", lambda x: x["v"]))))).alias("s"))
+
+    def of_one(rows: DataFrame) -> DataFrame:
+        met = rows.crossJoin(F.broadcast(by_length))
+        return met.select("q", "c", F.round(dot(F.try_element_at("s", F.size("cv")), F.col("cv")), 6).alias("score"))
+
+    several = saved(candidates.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("c").alias("of")), "several")
+    if several.isEmpty():
+        return of_one(b)
+    own = b["c"].eqNullSafe(several["of"])
+    pairs = b.join(several, own, "left_semi").join(F.broadcast(a.withColumn("token", F.monotonically_increasing_id())), F.lit(True))
+    best = pairs.groupBy("q", "token", "c").agg(F.max(dot(F.col("qv"), F.col("cv"))).alias("m"))
+    return of_one(b.join(several, own, "left_anti")).unionByName(best.groupBy("q", "c").agg(F.round(F.sum("m"), 6).alias("score")))

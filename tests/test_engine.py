@@ -238,3 +238,24 @@ def test_bundle_of_repeated_names(spark):
     got = V.check_bundle(spark.createDataFrame(new, kind), V.inventory(spark.createDataFrame(old, kind)))
     want = [("a", "DIGEST"), ("a", "MISSING"), ("b", "MISSING"), ("c", "UNEXPECTED"), ("d", "UNEXPECTED"), (None, "DIGEST")]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("tokens", [1, 3])
+def test_max_sim_against_all_pairs(spark, tokens):
+    """Candidates of one token need no pair of tokens; those of several are met with each."""
+    rng = np.random.default_rng(4)
+    asked = [(q, rng.normal(size=5)) for q in (0, 0, 0, 1, 1)] + [(1, np.zeros(5))]
+    given = [(c, rng.normal(size=5)) for c in range(7) for _ in range(1 + c % tokens)] + [(8, np.zeros(5))]
+    rows = [spark.createDataFrame([(k, v.tolist()) for k, v in r], f"{n} int, vec array<float>") for r, n in ((asked, "q"), (given, "c"))]
+    odd = spark.createDataFrame([(9, None), (10, [1.0])], "c int, vec array<float>")
+    found = R.max_sim(rows[0], rows[1].unionByName(odd))
+    assert ("token" in found._jdf.queryExecution().executedPlan().toString()) == (tokens > 1)
+    got = {(r["q"], r["c"]): r["score"] for r in found.collect()}
+
+    def unit(v):
+        v = v.astype(np.float32).astype(float)
+        return v / (np.linalg.norm(v) or 1)
+
+    want = {(q, c): sum(max(unit(x) @ unit(y) for k, y in given if k == c) for k, x in asked if k == q) for q in (0, 1) for c in {c for c, _ in given}}
+    assert {k for k, v in got.items() if v is None} == {(q, c) for q in (0, 1) for c in (9, 10)}
+    assert {k: v for k, v in got.items() if v is not None} == pytest.approx(want, abs=1e-6)
